@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from citeloom.llm.decontamination import OP3_SQL, op3_decontamination
+from citeloom.llm.langid import op1_language_id
+from citeloom.llm.mixing import op2_source_mixing
 from citeloom.llm.sharding import op5_hilbert_shards
 from citeloom.llm.simhash import op8_simhash_components
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_decontamination": op3_decontamination,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op8_simhash_components": op8_simhash_components,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+}
