@@ -2,56 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom.scratch import materialize
+
+__all__ = ["bounded_batches", "broadcast_if_small", "global_rank", "materialize", "table"]
+
 #: A table is broadcast only below this many rows (of a few columns each).
 BROADCAST_ROWS = 500_000
 #: An Arrow batch that goes to Python holds about this many bytes at most.
 ARROW_BATCH_BYTES = 8 << 20
 
-_OWN: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one. Only a local
-    master without that setting gets a temporary folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="spark-citeloom-")
-        atexit.register(shutil.rmtree, _OWN[sc.applicationId], True)
-    return f"file://{_OWN[sc.applicationId]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a scan of the files.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation,
-    and values that depend on task order are fixed from then on.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``df`` (cheap to count) has at most ``limit`` rows; else ``df``."""
     few = df.limit(limit + 1).count() <= limit
