@@ -10,6 +10,31 @@ from citeloom.plans.medallion import hop_rank
 
 PER_TOPIC = 200
 
+#: The default topics of a harvest.
+TOPICS = (
+    "retrieval augmented generation",
+    "vector database",
+    "vector embedding search",
+    "data pipeline orchestration",
+    "feature store machine learning",
+    "graph neural network",
+    "prompt engineering",
+    "semantic search embeddings",
+)
+
+
+def match_topics(works: DataFrame, topics: tuple[str, ...] = TOPICS) -> DataFrame:
+    """(topic, work_id, cited_by_count): works whose title or abstract has all words of a topic.
+
+    Topics are a short list of parameters, so this is one pass over the works
+    and no join.
+    """
+    text = F.lower(F.concat_ws(" ", "title", "narrative_abstract"))
+    words = F.split(text, r"[^\p{L}\p{N}]+")
+    hits = [F.when(F.size(F.array_except(F.array(*[F.lit(w) for w in t.lower().split()]), F.col("_words"))) == 0, F.lit(t)) for t in topics]
+    rows = works.select("work_id", "cited_by_count", words.alias("_words"))
+    return rows.select(F.explode(F.array_compact(F.array(*hits))).alias("topic"), "work_id", "cited_by_count")
+
 
 def fetch_seeds(universe: DataFrame, per_topic: int = PER_TOPIC) -> DataFrame:
     """(topic, work_id): each topic's most cited works; ties go to the smaller id. ``universe`` has topic, work_id, cited_by_count."""

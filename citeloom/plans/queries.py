@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
 from citeloom.functions.vectors import hashing_embedder
-from citeloom.operators import folds, graph, search, snowball
+from citeloom.operators import folds, graph, search, snowball, sync
 from citeloom.plans import fixture as fx
 from citeloom.plans import gates, medallion
 from citeloom.scratch import scratch_path
@@ -458,6 +458,22 @@ def cascades(spark, sf):
     return folds.set_null(folds.cascade(rows, events, "user_id"), events.select(F.col("event_id").alias("goal_id")), "goal_id")
 
 
+@query(f"""WITH {fx.AUTHORS_SQL.replace(fx.WORKS_SQL, fx.EDGES_SQL)}, half AS (SELECT * FROM works WHERE seed_topic < 'src5'), b AS (SELECT DISTINCT work_id, author_id FROM authorship)
+  SELECT 'papers' AS table_name, count(*) AS n FROM works UNION ALL SELECT 'authors', count(DISTINCT author_id) FROM authorship
+  UNION ALL SELECT 'paper_authors', count(*) FROM b
+  UNION ALL SELECT 'citation_edges', (SELECT count(*) FROM graph) + (SELECT count(*) FROM half)""")
+def sync_counts(spark, sf):
+    works, papers = fx.works(spark, sf, authors=True), fx.scored_papers(spark, sf)
+    papers = papers.withColumn("narrative_abstract", F.lit("x")).withColumn("payload", F.lit("{}"))
+    gold = {"papers": papers, "authors": medallion.silver_authors(works), "paper_authors": medallion.silver_paper_authors(works), "citation_edges": fx.graph(spark, sf)}
+    served = papers.where("seed_topic < 'src5'").withColumn("synced_at", F.lit(0)).withColumn("embedded_at", F.lit(0))
+    stale = served.select(F.concat(F.lit("old"), "work_id").alias("citing_work_id"), F.col("work_id").alias("cited_work_id"))
+    mine = served.select("work_id")
+    authorship = gold["paper_authors"].join(mine, "work_id", "left_semi")
+    current = {"papers": served, "authors": gold["authors"].join(authorship, "author_id", "left_semi"), "paper_authors": authorship, "citation_edges": stale}
+    return sync.counts(sync.sync(current, gold, F.lit(1)))
+
+
 # Corpus construction and ingestion ------------------------------------------
 
 _SNOWBALL_SQL = f"""{fx.EDGES_SQL}, seeds AS (
@@ -481,6 +497,15 @@ def citation_snowball(spark, sf):
     return _ball(spark, sf)
 
 
+@query(r"""WITH d AS (SELECT 'W' || doc_id AS work_id, n_chars, list_distinct(string_split_regex(lower(substring(text, 1, 60) || ' ' || text), '[^\p{L}\p{N}]+')) AS w FROM documents),
+  t AS (SELECT unnest(['the and', 'les des', 'der die', 'que los', 'and der']) AS topic)
+  SELECT topic, work_id, CAST(n_chars AS BIGINT) AS cited_by_count FROM d, t WHERE list_has_all(w, string_split(topic, ' '))""")
+def topic_search(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    works = docs.select(F.concat(F.lit("W"), "doc_id").alias("work_id"), F.col("n_chars").alias("cited_by_count"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("narrative_abstract"))
+    return snowball.match_topics(works, ("the and", "les des", "der die", "que los", "and der"))
+
+
 @query(f"WITH {_SNOWBALL_SQL} SELECT topic, count(*) AS works FROM ball GROUP BY ROLLUP (topic)")
 def harvest_summary(spark, sf):
     return snowball.harvest_summary(_ball(spark, sf))

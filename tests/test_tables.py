@@ -171,3 +171,35 @@ def test_library(spark):
     lib.delete_goal(1)
     assert lib.t["collections"].first().goal_id is None
     assert lib.delete_collection(1) == {"ok": True} and lib.t["collection_papers"].count() == 0 and lib.notes().first().collection_id is None
+
+
+def test_sync_versions_and_batches(spark, tmp_path):
+    from citeloom.operators import sync
+    from citeloom.settings import Settings
+
+    papers = paper(spark, [("a", "x", 1, 1)])
+    gold = {"papers": paper(spark, [("a", "y", 0, 0), ("b", "z", 0, 0)]), "authors": spark.createDataFrame([("A", "n", None)], "author_id string, display_name string, orcid string"), "paper_authors": spark.createDataFrame([("a", "A", 0)], "work_id string, author_id string, author_position int"), "citation_edges": spark.createDataFrame([("a", "b"), ("b", "a")], "citing_work_id string, cited_work_id string")}
+    current = {"papers": papers, "authors": gold["authors"].withColumn("display_name", F.lit("old")), "paper_authors": gold["paper_authors"].limit(0), "citation_edges": gold["citation_edges"].where("citing_work_id = 'a'")}
+    new = sync.sync(current, gold, F.lit(3))
+    assert {r.table_name: r.n for r in sync.counts(new).collect()} == {"papers": 2, "authors": 1, "paper_authors": 1, "citation_edges": 2}
+    assert new["authors"].first().display_name == "n"
+    sync.write_version(new, str(tmp_path), 1)
+    assert sync.read_version(spark, str(tmp_path), "papers", 1).count() == 2
+    out = str(tmp_path / "sent")
+    (tmp_path / "sent").mkdir()
+
+    def connect():
+        import uuid
+
+        def send(rows):
+            with open(f"{out}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(str(r[0]) for r in rows))
+
+        return send
+
+    sync.send_in_batches(spark.range(25).repartition(2), connect, 10)
+    files = [p.read_text().split("\n") for p in (tmp_path / "sent").iterdir()]
+    assert max(map(len, files)) <= 10 and sorted(int(x) for f in files for x in f) == list(range(25))
+    spark.conf.set("citeloom.per_topic", "7")
+    assert Settings.of(spark).per_topic == 7 and Settings.of(spark).chunk_size == 1500
+    spark.conf.unset("citeloom.per_topic")
