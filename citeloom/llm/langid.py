@@ -21,7 +21,7 @@ TRAIN_CHARS = 20_000
 FOLDS = 5
 CALIBRATION_FOLD = 1
 #: A text is rejected beyond this multiple of the largest residual seen in calibration.
-REJECT_MARGIN = 2.0
+REJECT_MARGIN = 4.0
 BOS, GAP, BASE = 0x110000, 0x20, 0x110001
 UNDECIDED = "und"
 _PIECE_CELLS, _PIECE_LEAST = 2_000_000, 1 << 14
