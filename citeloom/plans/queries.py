@@ -11,7 +11,7 @@ from citeloom.functions import text as tx
 from citeloom.functions.vectors import hashing_embedder
 from citeloom.operators import folds, graph, search, snowball, sync
 from citeloom.plans import fixture as fx
-from citeloom.plans import gates, medallion
+from citeloom.plans import build, gates, medallion
 from citeloom.scratch import scratch_path
 from citeloom.schemas import CONSTRAINTS
 from citeloom.sources.records import write_jsonl
@@ -520,3 +520,14 @@ def stream_ingest(spark, sf):
     for _ in range(2):  # a second run finds nothing new
         bronze = ingest_works(spark, f"{path}/in/*", f"{path}/bronze", f"{path}/progress")
     return bronze.groupBy(F.col("_seed_topic").alias("seed_topic")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("works"), F.count("_corrupt_record").alias("corrupt"))
+
+
+@query(f"""WITH {fx.AUTHORS_SQL.replace(fx.WORKS_SQL, fx.EDGES_SQL)}, b AS (SELECT DISTINCT work_id, author_id FROM authorship)
+  SELECT 'silver_works' AS table_name, count(*) AS n FROM works UNION ALL SELECT 'silver_authors', count(DISTINCT author_id) FROM authorship
+  UNION ALL SELECT 'silver_paper_authors', count(*) FROM b UNION ALL SELECT 'silver_citation_edges', count(*) FROM edges
+  UNION ALL SELECT 'gold_citation_graph', count(*) FROM graph UNION ALL SELECT 'gold_paper_metrics', count(*) FROM works
+  UNION ALL SELECT 'gold_topic_rollups', count(DISTINCT seed_topic) FROM works UNION ALL SELECT 'gold_author_metrics', count(DISTINCT author_id) FROM authorship
+  UNION ALL SELECT 'gold_papers_for_serving', count(*) FROM works""")
+def build_counts(spark, sf):
+    raw = fx.raw_works(spark, sf, refs=True, authors=True)
+    return build.table_counts(build.build(spark, raw, None, scratch_path(spark, "build"), fx.THIS_YEAR, F.col("abstract")))
