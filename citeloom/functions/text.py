@@ -6,10 +6,12 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.shipping import ship_package
+
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 100
 _EDGES = r"(?U)^\s+|\s+$"
 
@@ -44,13 +46,18 @@ def rebuild_abstract(index: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def reconstruct_abstract(index: pd.Series) -> pd.Series:
+def _rebuild(index: pd.Series) -> pd.Series:
+    return index.map(rebuild_abstract, na_action="ignore")
+
+
+def reconstruct_abstract(index: Column | str) -> Column:
     """``rebuild_abstract`` by Arrow batch.
 
     It stays in Python because JSON functions of the engine cannot follow the
     rules: they void a whole map for one bad position and lose key order.
     """
-    return index.map(rebuild_abstract, na_action="ignore")
+    ship_package(SparkSession.active())
+    return _rebuild(index)
 
 
 def chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.plans import medallion
+from citeloom.scratch import materialize
 
 THIS_YEAR = 2026
 _URL = "https://works.example/"
@@ -77,33 +78,34 @@ def works(spark: SparkSession, sf_dir: str, refs: bool = False, authors: bool =
     return medallion.silver_works(raw_works(spark, sf_dir, refs, authors), THIS_YEAR, F.col("abstract"))
 
 
-def light_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return works(spark, sf_dir).drop("narrative_abstract", "referenced_works", "authorships", "payload")
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned works without their texts, with references: written once and read by every step of a query."""
+    w = works(spark, sf_dir, refs=True)
+    return materialize(w.drop("narrative_abstract", "authorships", "payload"), "works")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return medallion.silver_citation_edges(works(spark, sf_dir, refs=True).select("work_id", "referenced_works"))
+def light_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return works(spark, sf_dir).drop("narrative_abstract", "referenced_works", "authorships", "payload")
 
 
-def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return medallion.gold_citation_graph(edges(spark, sf_dir), light_works(spark, sf_dir))
+def graph(b: DataFrame) -> DataFrame:
+    return medallion.gold_citation_graph(medallion.silver_citation_edges(b), b)
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics(b: DataFrame) -> DataFrame:
     """Paper metrics with the score rounded, so that ties are the same in every engine."""
-    m = medallion.gold_paper_metrics(light_works(spark, sf_dir), graph(spark, sf_dir))
+    m = medallion.gold_paper_metrics(b, graph(b))
     return m.withColumn("foundational_score", F.round("foundational_score", 6))
 
 
-def scored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = light_works(spark, sf_dir)
-    return w.join(metrics(spark, sf_dir).select("work_id", "foundational_score"), "work_id")
+def scored_papers(b: DataFrame) -> DataFrame:
+    return b.drop("referenced_works").join(metrics(b).select("work_id", "foundational_score"), "work_id")
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def members(spark: SparkSession, sf_dir: str, b: DataFrame) -> DataFrame:
     """(collection_id, work_id): the parts of every order that are works."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("collection_id"), F.concat(F.lit("W"), "l_partkey").alias("work_id")).distinct()
-    return lines.join(light_works(spark, sf_dir).select("work_id"), "work_id", "left_semi")
+    return lines.join(b.select("work_id"), "work_id", "left_semi")
 
 
 def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def paper_authors(spark, sf):
 
 @query(f"WITH {fx.EDGES_SQL} SELECT citing AS citing_work_id, cited AS cited_work_id FROM edges")
 def citation_edges_raw(spark, sf):
-    return fx.edges(spark, sf)
+    return medallion.silver_citation_edges(fx.works(spark, sf, refs=True))
 
 
 # Gold tables -------------------------------------------------------------
@@ -96,12 +96,12 @@ def citation_edges_raw(spark, sf):
 
 @query(f"WITH {fx.EDGES_SQL} SELECT citing AS citing_work_id, cited AS cited_work_id FROM graph")
 def citation_graph(spark, sf):
-    return fx.graph(spark, sf)
+    return fx.graph(fx.base(spark, sf))
 
 
 @query(f"WITH {fx.EDGES_SQL} SELECT work_id, in_degree AS in_corpus_in_degree, cited_by_count, fwci, publication_year, score AS foundational_score FROM metrics")
 def paper_metrics(spark, sf):
-    return fx.metrics(spark, sf)
+    return fx.metrics(fx.base(spark, sf))
 
 
 @query(f"WITH {fx.WORKS_SQL} SELECT seed_topic, count(*) AS paper_count, CAST(sum(cited_by_count) AS BIGINT) AS total_citations FROM works GROUP BY seed_topic ORDER BY 2 DESC, 1")
@@ -118,7 +118,7 @@ def author_metrics(spark, sf):
 @query(f"""WITH {fx.EDGES_SQL} SELECT work_id, title, doi, publication_year, domain AS primary_topic_domain, field AS primary_topic_field, cited_by_count,
   fwci, score AS foundational_score, is_oa, CAST(NULL AS VARCHAR) AS oa_url, field AS language, seed_topic, md5(abstract) AS abstract_md5 FROM metrics""")
 def papers_for_serving(spark, sf):
-    served = medallion.gold_papers_for_serving(fx.works(spark, sf), fx.metrics(spark, sf))
+    served = medallion.gold_papers_for_serving(fx.works(spark, sf), fx.metrics(fx.base(spark, sf)))
     return served.withColumn("abstract_md5", F.md5("narrative_abstract")).drop("narrative_abstract", "payload")
 
 
@@ -126,7 +126,8 @@ def papers_for_serving(spark, sf):
   l AS (SELECT count(*) AS linked_works FROM (SELECT citing FROM graph UNION SELECT cited FROM graph)), w AS (SELECT count(*) AS works FROM works)
   SELECT raw_edges, induced_edges, works, linked_works, round(induced_edges / raw_edges, 6) AS edge_density, round(linked_works / works, 6) AS linked_share FROM r, g, l, w""")
 def edge_density(spark, sf):
-    return medallion.edge_density(fx.edges(spark, sf), fx.light_works(spark, sf))
+    b = fx.base(spark, sf)
+    return medallion.edge_density(medallion.silver_citation_edges(b), b)
 
 
 # Texts -------------------------------------------------------------------
@@ -224,7 +225,7 @@ def vector_search_filtered(spark, sf):
 def search_papers(spark, sf):
     vectors = fx.chunk_vectors(spark, sf)
     asked = vectors.where("vec_id = 0").first()
-    return search.search(vectors, fx.scored_papers(spark, sf), list(asked.embedding), K)
+    return search.search(vectors, fx.scored_papers(fx.base(spark, sf)), list(asked.embedding), K)
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
@@ -260,12 +261,14 @@ def refresh_embeddings(spark, sf):
 
 @query(f"WITH {fx.EDGES_SQL} SELECT citing AS of_work_id, cited AS work_id, title, score AS foundational_score FROM graph JOIN metrics ON cited = work_id")
 def prerequisites(spark, sf):
-    return graph.prerequisites(fx.graph(spark, sf), fx.scored_papers(spark, sf))
+    b = fx.base(spark, sf)
+    return graph.prerequisites(fx.graph(b), fx.scored_papers(b))
 
 
 @query(f"WITH {fx.EDGES_SQL} SELECT cited AS of_work_id, citing AS work_id, title, score AS foundational_score FROM graph JOIN metrics ON citing = work_id")
 def unlocks(spark, sf):
-    return graph.unlocks(fx.graph(spark, sf), fx.scored_papers(spark, sf))
+    b = fx.base(spark, sf)
+    return graph.unlocks(fx.graph(b), fx.scored_papers(b))
 
 
 def _pairs(spark, sf):
@@ -281,7 +284,8 @@ _PAIRS_SQL = f"""{fx.EDGES_SQL}, p AS (
 
 @query(f"WITH {_PAIRS_SQL} SELECT * FROM p")
 def compare_papers(spark, sf):
-    return graph.compare_papers(_pairs(spark, sf), fx.light_works(spark, sf), fx.graph(spark, sf))
+    b = fx.base(spark, sf)
+    return graph.compare_papers(_pairs(spark, sf), b, fx.graph(b))
 
 
 def _quoted_sql(c: str) -> str:
@@ -293,7 +297,8 @@ def _quoted_sql(c: str) -> str:
   THEN {_quoted_sql('a_title')} || ' cites ' || {_quoted_sql('b_title')} || ' -- read the latter first.'
   ELSE 'No direct citation edge found between these two papers in this corpus.' END AS explanation FROM p""")
 def explain_link(spark, sf):
-    return graph.explain_links(_pairs(spark, sf), fx.light_works(spark, sf), fx.graph(spark, sf))
+    b = fx.base(spark, sf)
+    return graph.explain_links(_pairs(spark, sf), b, fx.graph(b))
 
 
 _PATH_SQL = f"""WITH RECURSIVE {fx.MEMBERS_SQL}, e AS (
@@ -320,8 +325,9 @@ _PATH_SQL = f"""WITH RECURSIVE {fx.MEMBERS_SQL}, e AS (
 
 
 def _paths(spark, sf):
-    members = fx.members(spark, sf).join(fx.metrics(spark, sf).select("work_id", "foundational_score"), "work_id")
-    return graph.reading_paths(members, fx.graph(spark, sf))
+    b = fx.base(spark, sf)
+    members = fx.members(spark, sf, b).join(fx.metrics(b).select("work_id", "foundational_score"), "work_id")
+    return graph.reading_paths(members, fx.graph(b))
 
 
 @query(f"""{_PATH_SQL} SELECT c AS collection_id, rank, w AS work_id, array_to_string(pre, ' ') AS prerequisites, array_to_string(post, ' ') AS unlocks,
@@ -355,7 +361,7 @@ def reading_plan_saved(spark, sf):
   FROM orders LEFT JOIN members ON c = o_orderkey GROUP BY ALL""")
 def collection_counts(spark, sf):
     owned = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("collection_id"), F.concat(F.lit("U"), "o_custkey").alias("user_id"))
-    counts = fx.members(spark, sf).groupBy("collection_id").agg(F.count("work_id").alias("paper_count"))
+    counts = fx.members(spark, sf, fx.light_works(spark, sf)).groupBy("collection_id").agg(F.count("work_id").alias("paper_count"))
     return owned.join(counts, "collection_id", "left").withColumn("paper_count", F.coalesce("paper_count", F.lit(0)))
 
 
@@ -363,8 +369,9 @@ def collection_counts(spark, sf):
   CAST(row_number() OVER (PARTITION BY c ORDER BY score DESC, w) AS INTEGER) AS place FROM members JOIN metrics ON w = work_id""")
 def collection_detail(spark, sf):
     order = Window.partitionBy("collection_id").orderBy(F.desc("foundational_score"), "work_id")
-    papers = fx.scored_papers(spark, sf).select("work_id", "title", "foundational_score")
-    return fx.members(spark, sf).join(papers, "work_id").select("collection_id", "work_id", "title", "foundational_score", F.row_number().over(order).alias("place"))
+    b = fx.base(spark, sf)
+    papers = fx.scored_papers(b).select("work_id", "title", "foundational_score")
+    return fx.members(spark, sf, b).join(papers, "work_id").select("collection_id", "work_id", "title", "foundational_score", F.row_number().over(order).alias("place"))
 
 
 _STATE_SQL = f"""{fx.PROGRESS_SQL}, state AS (
@@ -463,9 +470,10 @@ def cascades(spark, sf):
   UNION ALL SELECT 'paper_authors', count(*) FROM b
   UNION ALL SELECT 'citation_edges', (SELECT count(*) FROM graph) + (SELECT count(*) FROM half)""")
 def sync_counts(spark, sf):
-    works, papers = fx.works(spark, sf, authors=True), fx.scored_papers(spark, sf)
+    b = fx.base(spark, sf)
+    works, papers = fx.works(spark, sf, authors=True), fx.scored_papers(b)
     papers = papers.withColumn("narrative_abstract", F.lit("x")).withColumn("payload", F.lit("{}"))
-    gold = {"papers": papers, "authors": medallion.silver_authors(works), "paper_authors": medallion.silver_paper_authors(works), "citation_edges": fx.graph(spark, sf)}
+    gold = {"papers": papers, "authors": medallion.silver_authors(works), "paper_authors": medallion.silver_paper_authors(works), "citation_edges": fx.graph(b)}
     served = papers.where("seed_topic < 'src5'").withColumn("synced_at", F.lit(0)).withColumn("embedded_at", F.lit(0))
     stale = served.select(F.concat(F.lit("old"), "work_id").alias("citing_work_id"), F.col("work_id").alias("cited_work_id"))
     mine = served.select("work_id")
@@ -488,8 +496,9 @@ _SNOWBALL_SQL = f"""{fx.EDGES_SQL}, seeds AS (
 
 
 def _ball(spark, sf):
-    universe = fx.light_works(spark, sf).select(F.col("seed_topic").alias("topic"), "work_id", "cited_by_count")
-    return snowball.snowball(universe, fx.edges(spark, sf), PER_TOPIC)
+    b = fx.base(spark, sf)
+    universe = b.select(F.col("seed_topic").alias("topic"), "work_id", "cited_by_count")
+    return snowball.snowball(universe, medallion.silver_citation_edges(b), PER_TOPIC)
 
 
 @query(f"WITH {_SNOWBALL_SQL} SELECT topic, work_id, hop FROM ball")

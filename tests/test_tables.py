@@ -67,7 +67,8 @@ def test_snapshot_and_manifest(spark, tmp_path, sf):
 
 
 def test_graph_invariants(spark, sf):
-    edges, works = fx.edges(spark, sf), fx.light_works(spark, sf)
+    works = fx.base(spark, sf)
+    edges = medallion.silver_citation_edges(works)
     graph = medallion.gold_citation_graph(edges, works)
     assert graph.exceptAll(edges.distinct()).count() == 0 and graph.count() == graph.distinct().count()
     degrees = medallion.gold_paper_metrics(works, graph)
