@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import materialize, table
@@ -26,29 +24,34 @@ _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _N = len(_CHARS)
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, end, kind>> of the leftmost non-overlapping matches that are long enough.
+_SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
+
+
+def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, values: bool = False) -> Column:
+    """array<struct<start, end, kind, value>> of the leftmost non-overlapping matches that are long enough.
 
     Places are code points: lengths of what lies between matches and of the
-    matches, summed up.
+    matches, summed up in one fold. ``value`` is the match if asked for.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    parts = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("n"), F.length(F.get(inner, i)).alias("size")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole, lambda m: F.length(m))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    # Zipped, as a lambda that indexed one of these arrays would build it anew for each match.
+    matched = F.zip_with(whole, sizes, lambda m, k: F.struct(m.alias("m"), k.alias("k")))
+    parts = F.zip_with(matched, gaps, lambda x, g: F.struct(g.alias("gap"), F.length(x["m"]).alias("n"), x["k"].alias("size"), (x["m"] if values else F.lit(None).cast("string")).alias("value")))
+    none = F.array().cast(_SPAN)
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end"), F.lit(kind).alias("kind")))
+        one = F.array(F.struct(start.alias("start"), (start + p["n"]).alias("end"), F.lit(kind).alias("kind"), p["value"].alias("value")))
         return F.struct((start + p["n"]).alias("at"), F.when(p["size"] >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    return F.aggregate(F.filter(parts, lambda p: p["n"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
 
 def base_spans(text: Column) -> list[Column]:
     """The spans of each kind; a text without a match is not taken apart."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    none = F.array().cast(_SPAN)
     out = []
     for kind, pattern, group, least in KINDS:
         # For runs of one class, a long enough match is the same as a match of the long form.
@@ -61,8 +64,8 @@ def base_spans(text: Column) -> list[Column]:
 def _pairs(value: Column) -> Column:
     """Indexes of the character pairs of a string in a table of _N * _N cells; other characters are skipped."""
     at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(_CHARS), c) - 1)
-    places = F.sequence(F.lit(0), F.size(at) - 2)
-    index = F.transform(places, lambda i: F.when((F.get(at, i) >= 0) & (F.get(at, i + 1) >= 0), F.get(at, i) * _N + F.get(at, i + 1)))
+    # Zipped with itself one further on: a lambda that indexed the array would build it anew for each place.
+    index = F.zip_with(at, F.slice(at, F.lit(2), F.length(value)), lambda a, b: F.when((a >= 0) & (b >= 0), a * _N + b))
     return F.when(F.length(value) >= 2, F.filter(index, lambda x: x.isNotNull()))
 
 
@@ -94,14 +97,15 @@ def log_ratios(samples: DataFrame) -> list[float]:
     characters, mixed evenly with the class frequencies so that an unseen
     pair stays bounded.
     """
-    rows = samples.select("random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
-    table_ = {True: [0.5] * (_N * _N), False: [0.5] * (_N * _N)}
-    for r in rows:  # two times _N * _N rows at most
-        table_[r.random][r.pair] += r.n
+    values = samples.groupBy("random", "value").agg(F.count("*").alias("n"))
+    counts = values.select("random", "n", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair")
+    counts = counts.agg(F.sum(F.when(F.col("random"), F.col("n"))).alias("random"), F.sum(F.when(~F.col("random"), F.col("n"))).alias("plain"))
+    cells = samples.sparkSession.range(_N * _N).select(F.col("id").alias("pair"), F.expr(f"id div {_N}").alias("last")).join(F.broadcast(counts), "pair", "left")
+    cells = cells.select("pair", "last", *[(F.coalesce(c, F.lit(0)) + 0.5).alias(c) for c in ("random", "plain")])
+    share = lambda c: F.col(c) / F.sum(c).over(Window.partitionBy("last"))
     # Random strings use no order: any alphabet is as likely as hexadecimal digits.
-    mixed = [0.5 * n / sum(table_[True][i - i % _N : i - i % _N + _N]) + 0.5 / _N for i, n in enumerate(table_[True])]
-    plain = [n / sum(table_[False][i - i % _N : i - i % _N + _N]) for i, n in enumerate(table_[False])]
-    return [math.log(a / max(b, 1e-4)) for a, b in zip(mixed, plain, strict=True)]
+    ratio = F.log((0.5 * share("random") + 0.5 / _N) / F.greatest(share("plain"), F.lit(1e-4)))
+    return [r.ratio for r in cells.select("pair", ratio.alias("ratio")).orderBy("pair").collect()]  # _N * _N rows
 
 
 def mean_ratio(value: Column, ratios: list[float]) -> Column:
@@ -127,14 +131,14 @@ def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
         samples = materialize(labelled_samples(docs), "secret-samples")
         ratios = log_ratios(samples) if samples.where("random").limit(1).count() else [float(-99)] * (_N * _N)
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    none = F.array().cast(_SPAN)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("base", F.concat(*base_spans(F.col("text"))))
-    rows = rows.withColumn("tokens", F.when(F.col("text").rlike(TOKEN), spans_of(F.col("text"), "markov", TOKEN, 0, 20)).otherwise(none))
+    rows = rows.withColumn("tokens", F.when(F.col("text").rlike(TOKEN), spans_of(F.col("text"), "markov", TOKEN, 0, 20, values=True)).otherwise(none))
 
     def is_new(t: Column) -> Column:
         apart = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        value = F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"])
+        value = t["value"]
         return apart & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (mean_ratio(value, ratios) > THRESHOLD)
 
     added = F.filter("tokens", is_new)
