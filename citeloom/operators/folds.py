@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.schemas import PROGRESS_STATES
+
 PAPER_FIELDS = (
     "title doi publication_year primary_topic_domain primary_topic_field cited_by_count fwci foundational_score is_oa oa_url language seed_topic narrative_abstract payload".split()
 )
@@ -43,16 +45,21 @@ def fold_progress(log: DataFrame) -> DataFrame:
     """Reading progress from a log (seq, user_id, work_id, status, ts).
 
     The last status counts; started_at is the first start; completed_at is
-    that of the last event and empty unless it says completed. One hash
-    aggregation that combines before the shuffle.
+    that of the last event and empty unless it says completed. A status that
+    is none of PROGRESS_STATES comes out null. One hash aggregation that
+    combines before the shuffle.
     """
+    states = F.array(*[F.lit(x) for x in PROGRESS_STATES])
+    code = F.array_position(states, F.col("status")).cast("int")  # a number, so that the aggregation can hash
     done = F.when(F.col("status") == "completed", F.col("ts"))
-    return log.groupBy("user_id", "work_id").agg(
-        F.max_by("status", "seq").alias("status"),
-        F.min_by(F.when(F.col("status") == "in_progress", F.col("ts")), F.when(F.col("status") == "in_progress", F.col("seq"))).alias("started_at"),
+    began = F.col("status") == "in_progress"
+    folded = log.groupBy("user_id", "work_id").agg(
+        F.max_by(code, "seq").alias("_code"),
+        F.min_by(F.when(began, F.col("ts")), F.when(began, F.col("seq"))).alias("started_at"),
         F.max_by(done, "seq").alias("completed_at"),
         F.max("ts").alias("updated_at"),
     )
+    return folded.select("user_id", "work_id", F.try_element_at(states, F.nullif(F.col("_code"), F.lit(0))).alias("status"), "started_at", "completed_at", "updated_at")
 
 
 def fold_membership(log: DataFrame) -> DataFrame:
