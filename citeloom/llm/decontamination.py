@@ -31,7 +31,8 @@ def _shingles(w: Column, width: int) -> Column:
 
 
 def _hashes(w: Column, width: int) -> Column:
-    return F.transform(_places(w, width), lambda i: F.xxhash64(_shingle(w, i, width)))
+    """Hashes of the shingles, over their words in turn."""
+    return F.transform(_places(w, width), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
 
 
 def _shared(w: Column, wanted: Column, width: int) -> Column:
@@ -41,14 +42,15 @@ def _shared(w: Column, wanted: Column, width: int) -> Column:
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, width, n_item, shingles) for items with a word; shorter items are one shingle of all their words."""
+    """(item_id, width, n_item, shingles, hashes) for items with a word; shorter items are one shingle of all their words."""
     w = items.select(F.col("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("width", F.least(F.size("w"), F.lit(width)))
     out = None
     for k in range(1, width + 1):
-        part = w.where(F.col("width") == k).select("item_id", "width", F.array_distinct(_shingles(F.col("w"), k)).alias("shingles"))
+        own = F.array_distinct(_shingles(F.col("w"), k)).alias("shingles"), F.array_distinct(_hashes(F.col("w"), k)).alias("hashes")
+        part = w.where(F.col("width") == k).select("item_id", "width", *own)
         out = part if out is None else out.union(part)
-    return out.select("item_id", "width", F.size("shingles").alias("n_item"), "shingles")
+    return out.select("item_id", "width", F.size("shingles").alias("n_item"), "shingles", "hashes")
 
 
 def signatures(shingled: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
@@ -62,12 +64,11 @@ def signatures(shingled: DataFrame, threshold: float = CONTAINMENT) -> DataFrame
     """
     upper = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_item").cast("double"))) + 1) - 1
     minima = F.least(F.floor(upper * (1 - threshold) + 1e-9) + 1, F.col("n_item")).cast("int")
-    hashed = F.transform(F.col("shingles"), lambda s: F.xxhash64(s))
     return shingled.select(
         "item_id",
         "width",
         F.ceil(F.col("n_item") * threshold - 1e-9).cast("int").alias("need"),
-        F.explode(F.slice(F.array_sort(F.array_distinct(hashed)), F.lit(1), minima)).alias("h"),
+        F.explode(F.slice(F.array_sort("hashes"), F.lit(1), minima)).alias("h"),
     )
 
 
@@ -78,8 +79,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINME
     looked for as it is). Candidates come from the items' MinHash signatures
     and are verified on the shingles themselves. Null or empty texts on either
     side match nothing; repeated documents or items with one id count once,
-    with the largest containment; empty tables give no rows; other columns are
-    not read.
+    with the largest containment; rows with a null id match nothing; empty
+    tables give no rows; other columns are not read.
     """
     shingled = materialize(item_shingles(items, width), "bench-shingles")
     signature = materialize(signatures(shingled, threshold), "bench-signatures")
@@ -94,7 +95,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINME
     if found is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item"), F.lit(0.0).alias("containment")).where("false")
     found = materialize(found, "bench-candidates")
-    pairs = found.join(F.broadcast(shingled) if _few(shingled) else shingled, "item_id")
+    wanted = shingled.drop("hashes")
+    pairs = found.join(F.broadcast(wanted) if _few(shingled) else wanted, "item_id")
     texts = docs.select("doc_id", "text").join(broadcast_if_small(found.select("doc_id").distinct()), "doc_id", "left_semi")
     texts = texts.select("doc_id", words(F.col("text")).alias("w"))
     both = texts.join(pairs, "doc_id")

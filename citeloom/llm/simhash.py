@@ -125,7 +125,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class; every column stays.
 
-    Repeated rows of one doc_id count as one document and share its fate.
+    Repeated rows of one doc_id count as one document and share its fate; rows
+    with a null doc_id stay.
     """
     gone = materialize(near_duplicate_classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
