@@ -102,6 +102,13 @@ def knn(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search_many(embeddings: DataFrame, papers: DataFrame, queries: DataFrame, top_k: int = 10, **filters) -> DataFrame:
+    """``search`` for each of many query vectors (query_id, vector): query_id, rank and the eleven columns."""
+    p = paper_filter(papers, **filters).select("work_id", *RESULT)
+    found = knn(embeddings.join(p.select("work_id"), "work_id", "left_semi"), queries, top_k)
+    return found.join(p, "work_id").select("query_id", "rank", "work_id", *RESULT, "similarity")
+
+
 def similar_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Adds the cosine similarity to pairs (a, b) of keys of ``vectors`` (id, embedding)."""
     out = pairs

@@ -218,14 +218,11 @@ def vector_search_filtered(spark, sf):
     return search.knn(vectors, _query_vectors(spark, sf), K)
 
 
-@query(f"""WITH {fx.EDGES_SQL}, v AS (SELECT vec_id, 'W' || (vec_id // 2) AS work_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-  s AS (SELECT v.work_id, max(round(list_cosine_similarity(v.e, q.e), 6)) AS similarity FROM v, (SELECT e FROM v WHERE vec_id = 0) q GROUP BY 1)
-  SELECT work_id, title, publication_year, field AS primary_topic_field, domain AS primary_topic_domain, cited_by_count, score AS foundational_score, is_oa,
-         CAST(NULL AS VARCHAR) AS oa_url, seed_topic, similarity FROM s JOIN metrics USING (work_id) ORDER BY similarity DESC, work_id LIMIT 10""")
+@query(f"""WITH {fx.EDGES_SQL}, {_KNN_SQL.format(where="WHERE work_id IN (SELECT work_id FROM works)").replace("SELECT query_id, work_id, similarity, rank FROM ranked WHERE rank <= 10", "")}
+  SELECT query_id, rank, work_id, title, publication_year, field AS primary_topic_field, domain AS primary_topic_domain, cited_by_count, score AS foundational_score, is_oa,
+         CAST(NULL AS VARCHAR) AS oa_url, seed_topic, similarity FROM ranked JOIN metrics USING (work_id) WHERE rank <= 10""")
 def search_papers(spark, sf):
-    vectors = fx.chunk_vectors(spark, sf)
-    asked = vectors.where("vec_id = 0").first()
-    return search.search(vectors, fx.scored_papers(fx.base(spark, sf)), list(asked.embedding), K)
+    return search.search_many(fx.chunk_vectors(spark, sf), fx.scored_papers(fx.base(spark, sf)), _query_vectors(spark, sf), K)
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)

@@ -126,6 +126,8 @@ def test_search_filters_before_top_k(spark):
     assert got == ["w7", "w5", "w3"]
     assert [r.work_id for r in search.search(vectors, papers, [1.0, 0.0], 9, year_from=2006).collect()] == ["w7", "w6"]
     assert [r.work_id for r in search.search(vectors, papers, [1.0, 0.0], 9, open_access_only=True).collect()] == ["w6", "w3", "w0"]
+    many = search.search_many(vectors, papers, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>"), 3, field="f").orderBy("rank").collect()
+    assert [r.work_id for r in many] == got and [r.similarity for r in many] == [r.similarity for r in search.search(vectors, papers, [1.0, 0.0], 3, field="f").collect()]
     assert (search.clamp_top_k(0), search.clamp_top_k(99)) == (1, 50)
     best = search.knn(vectors, spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<float>"), 2).collect()
     assert {(r.query_id, r.rank): r.work_id for r in best} == {(1, 1): "w7", (1, 2): "w6", (2, 1): "w0", (2, 2): "w1"}
