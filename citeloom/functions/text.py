@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.fixed import CHUNK_OVERLAP, CHUNK_SIZE, CITES, NO_EDGE, READ_FIRST
 from citeloom.shipping import ship_package
 
-CHUNK_SIZE, CHUNK_OVERLAP = 1500, 100
 _EDGES = r"(?U)^\s+|\s+$"
 
 
 def short_id(col: Column | str) -> Column:
     """What follows the last slash; a bare id stays as it is."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.element_at(F.split(c, "/"), -1)
+    return F.substring_index(col, "/", -1)
 
 
 def strip(col: Column) -> Column:
@@ -126,9 +125,8 @@ def quoted(col: Column) -> Column:
 
 
 def link_explanation(direct: Column, citing_title: Column, cited_title: Column) -> Column:
-    return F.when(direct, F.concat(quoted(citing_title), F.lit(" cites "), quoted(cited_title), F.lit(" -- read the latter first."))).otherwise(
-        F.lit("No direct citation edge found between these two papers in this corpus.")
-    )
+    said = F.concat(quoted(citing_title), F.lit(CITES), quoted(cited_title), F.lit(READ_FIRST))
+    return F.when(direct, said).otherwise(F.lit(NO_EDGE))
 
 
 def agent_reply(response: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.plans.medallion import SERVED
 from citeloom.schemas import PROGRESS_STATES
 
-PAPER_FIELDS = (
-    "title doi publication_year primary_topic_domain primary_topic_field cited_by_count fwci foundational_score is_oa oa_url language seed_topic narrative_abstract payload".split()
-)
+#: What a sync overwrites.
+PAPER_FIELDS = [c for c in SERVED if c != "work_id"]
 
 
 def upsert_papers(current: DataFrame, incoming: DataFrame, now: Column, prune: bool = False) -> DataFrame:

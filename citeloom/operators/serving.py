@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.fixed import NO_COLLECTION, NOT_OWNER
 from citeloom.operators import folds, graph
 from citeloom.operators import search as searching
 from citeloom.plans.medallion import gold_topic_rollups
@@ -81,7 +82,7 @@ class Library:
             return denied
         own = self.t["collections"].where(F.col("collection_id") == collection_id)
         if own.isEmpty():
-            return {"error": f"collection {collection_id} does not exist"}
+            return {"error": NO_COLLECTION.format(collection_id)}
         members = self.t["collection_papers"].where(F.col("collection_id") == collection_id)
         papers = members.join(self.t["papers"].select("work_id", "title", "foundational_score"), "work_id").select(*DETAIL)
         return {"collection": own, "papers": papers.orderBy(F.asc_nulls_last("sequence_rank"), "added_at", "work_id")}
@@ -110,8 +111,8 @@ class Library:
     def _denied(self, collection_id: int) -> dict | None:
         owner = self.t["collections"].where(F.col("collection_id") == collection_id).select("user_id").head(1)
         if not owner:
-            return {"error": f"collection {collection_id} does not exist"}
-        return None if owner[0].user_id == self.user else {"error": "not authorized: this collection belongs to a different user"}
+            return {"error": NO_COLLECTION.format(collection_id)}
+        return None if owner[0].user_id == self.user else {"error": NOT_OWNER}
 
     def _row(self, table: str, **values) -> DataFrame:
         schema = self.t[table].schema

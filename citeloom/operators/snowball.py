@@ -5,23 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.fixed import PER_TOPIC, TOPICS
 from citeloom.functions.text import short_id
 from citeloom.plans.medallion import hop_rank
 
-PER_TOPIC = 200
-
-#: The default topics of a harvest.
-TOPICS = (
-    "retrieval augmented generation",
-    "vector database",
-    "vector embedding search",
-    "data pipeline orchestration",
-    "feature store machine learning",
-    "graph neural network",
-    "prompt engineering",
-    "semantic search embeddings",
-)
-
 
 def match_topics(works: DataFrame, topics: tuple[str, ...] = TOPICS) -> DataFrame:
     """(topic, work_id, cited_by_count): works whose title or abstract has all words of a topic.

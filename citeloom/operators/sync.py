@@ -8,13 +8,13 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.fixed import SEND_ROWS
 from citeloom.operators.folds import add_missing, upsert, upsert_papers
 from citeloom.shipping import ship_package
 
 #: Parents before children.
 ORDER = ("papers", "authors", "paper_authors", "citation_edges")
 KEYS = {"authors": ["author_id"], "paper_authors": ["work_id", "author_id"], "citation_edges": ["citing_work_id", "cited_work_id"]}
-BATCH = 1000
 
 
 def sync(current: dict[str, DataFrame], gold: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
@@ -46,7 +46,7 @@ def read_version(spark: SparkSession, root: str, name: str, version: int) -> Dat
     return spark.read.parquet(f"{root}/{name}/version={version}")
 
 
-def send_in_batches(df: DataFrame, connect: Callable[[], Callable[[list[tuple]], None]], size: int = BATCH) -> None:
+def send_in_batches(df: DataFrame, connect: Callable[[], Callable[[list[tuple]], None]], size: int = SEND_ROWS) -> None:
     """Sends rows from the executors, ``size`` at a time; no row passes the driver.
 
     ``connect`` is called once for each partition that has rows and returns the

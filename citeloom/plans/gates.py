@@ -7,19 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.fixed import ABSTRACT_OVER, LEAST_YEAR
+
 
 def works_gates(this_year: Column | int | None = None) -> dict[str, Column]:
     """Drop-gates of cleaned works; all are two-valued."""
-    year = F.year(F.current_date()) if this_year is None else F.lit(this_year) if isinstance(this_year, int) else this_year
+    if this_year is None:
+        this_year = F.year(F.current_date())
+    work, title, text, year = (F.col(c) for c in ("work_id", "title", "narrative_abstract", "publication_year"))
     return {
-        "valid_id": F.expr("work_id IS NOT NULL"),
-        "has_title": F.expr("title IS NOT NULL AND length(trim(title)) > 0"),
-        "has_abstract": F.expr("narrative_abstract IS NOT NULL AND length(narrative_abstract) > 100"),
-        "plausible_year": F.expr("publication_year IS NULL") | F.col("publication_year").between(F.lit(1800), year + 1),
+        "valid_id": work.isNotNull(),
+        "has_title": F.coalesce(F.trim(title) != "", F.lit(False)),
+        "has_abstract": F.coalesce(F.length(text) > ABSTRACT_OVER, F.lit(False)),
+        "plausible_year": F.coalesce((year >= LEAST_YEAR) & (year <= F.lit(this_year) + 1), F.lit(True)),
     }
 
 
-WARN_GATES = {"has_citations": "size(referenced_works) > 0"}
+#: Gates that count and keep the row.
+WARN_GATES = {"has_citations": "cardinality(referenced_works) <> 0"}
 
 
 def keep_passing(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
