@@ -124,8 +124,9 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     if share is None:
         share = n_fine / n if n_good else 1.0
     ratios = fit(docs, labels.where(good).select("doc_id").distinct()) if n_good else np.zeros(BUCKETS)
+    # Written before it is ranged: the sampling of ranges would otherwise score all texts a second time.
     keyed = log_weights(docs, ratios).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")))
-    ranked = global_rank(keyed, [F.desc("key"), F.asc("doc_id")], "resample", "rank")
+    ranked = global_rank(materialize(keyed, "weights"), [F.desc("key"), F.asc("doc_id")], "resample", "rank")
     k = F.ceil(F.lit(share) * F.lit(ranked.count()) - 1e-9)
     return ranked.select("doc_id", "n_features", "log_weight", "key", "rank", (F.col("rank") < k).alias("kept"))
 
