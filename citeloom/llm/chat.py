@@ -154,7 +154,7 @@ def prefix_trees(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = _by_conversation(light.select("conv_id", "i", "node", "branch", "size"), "i").mapInArrow(_keys, _KEYED)
     owners = nodes.select(F.col("owner.conv_id").alias("conv_id"), F.col("owner.i").alias("i"), "node")
     owned = _of_owner(keyed, owners)
-    placed = materialize(_running_start(owned.select("node", "key", "i", "size")), "chat-places")
+    placed = materialize(_running_start(materialize(owned.select("node", "key", "i", "size"), "chat-keys")), "chat-places")
     index = materialize(_by_conversation(turns.select("conv_id", "i", "node").join(placed, "node"), "i").mapInArrow(_spans, _SPANNED), "chat-index")
     mine = _of_owner(index, owners)
     attends = F.arrays_zip(F.col("span_starts").alias("start"), F.col("span_ends").alias("end"))
