@@ -72,10 +72,9 @@ def _pairs(value: Column) -> Column:
 def labelled_samples(docs: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
     """(value, random): strings found by the base patterns, and words of the same documents.
 
-    A bounded sample, chosen by a hash of the id, of the documents with a base
-    match is labelled: values of assignments, access keys and hexadecimal runs
-    are random strings; other words of letters, digits and joining marks are
-    ordinary identifiers.
+    They come from a bounded sample of the documents, chosen by a hash of the
+    id: values of assignments, access keys and hexadecimal runs are random
+    strings; words of letters and joining marks are ordinary identifiers.
     """
     total = docs.count()
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, limit / max(total, 1)))))

@@ -17,7 +17,7 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     Skilling's transform, as one fold over the (bit, axis) steps. The number of
     axes times ``bits`` may be 62 at most.
     """
-    n, top = len(axes), 1 << (bits - 1)
+    n = len(axes)
     if not axes or bits < 1 or n * bits > 62:
         raise ValueError("axes times bits must be between 1 and 62")
     steps = F.array(*[F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(n)]) if bits > 1 else None
@@ -55,7 +55,6 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
         order = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
         return F.aggregate(order, F.lit(0).cast("long"), lambda a, s: a * 2 + F.when(F.get(x, s["i"]).bitwiseAND(F.call_function("shiftleft", F.lit(1), s["b"])) != 0, 1).otherwise(0))
 
-    assert top  # bits is at least 1
     return F.get(F.transform(done, weave), F.lit(0))
 
 
@@ -100,11 +99,10 @@ def hilbert_shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS) ->
     cell = base.withColumn("hilbert", hilbert_index([F.col("_lang"), F.col("_source"), F.greatest(size, F.lit(0))], bits)).drop("_lang", "_source")
     ranked = global_rank(cell, ["hilbert", "text_crc32", "doc_id"], "shard-order")
     total = ranked.count()
-    shard = F.floor(F.col("_rank") * n_shards / F.lit(max(total, 1))).cast("long")
-    # Exact integer arithmetic: the quotient above may be off by one at a cut.
-    first = lambda s: F.expr(f"({s} * {total} + {n_shards - 1}) div {n_shards}")
-    ranked = ranked.withColumn("_s", F.expr(f"(_rank * {n_shards}) div {max(total, 1)}")) if total else ranked.withColumn("_s", shard)
-    return ranked.withColumn("shard", F.col("_s").cast("int")).withColumn("slot", (F.col("_rank") - first("_s")).cast("long")).drop("_s", "_rank")
+    # Integer arithmetic: shard s begins at place ceil(s * total / n_shards).
+    ranked = ranked.withColumn("_s", F.expr(f"_rank * {n_shards} div {max(total, 1)}"))
+    begin = F.expr(f"(_s * {total} + {n_shards - 1}) div {n_shards}")
+    return ranked.withColumn("shard", F.col("_s").cast("int")).withColumn("slot", (F.col("_rank") - begin).cast("long")).drop("_s", "_rank")
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
