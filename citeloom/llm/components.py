@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import materialize
 
 MAX_ROUNDS = 60
+#: Edges of a round go to files of about this many rows, so that a few edges do not make many files.
+FILE_ROWS = 50_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,14 +29,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(rest.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        files = seen[0] // FILE_ROWS + 1  # no round has more edges than the one before
+        e = materialize(rest.union(low.select("a", F.col("m").alias("b"))).distinct().coalesce(files), "cc")
         now = _digest(e)
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not converge")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).coalesce(seen[0] // FILE_ROWS + 1)
 
 
 def _digest(e: DataFrame) -> tuple:
