@@ -12,7 +12,7 @@ from citeloom.functions.vectors import hashing_embedder
 from citeloom.operators import folds, graph, search, snowball, sync
 from citeloom.plans import fixture as fx
 from citeloom.plans import build, gates, medallion
-from citeloom.scratch import scratch_path
+from citeloom.scratch import materialize, scratch_path
 from citeloom.schemas import CONSTRAINTS
 from citeloom.sources.records import write_jsonl
 
@@ -323,8 +323,10 @@ _PATH_SQL = f"""WITH RECURSIVE {fx.MEMBERS_SQL}, e AS (
 
 def _paths(spark, sf):
     b = fx.base(spark, sf)
-    members = fx.members(spark, sf, b).join(fx.metrics(b).select("work_id", "foundational_score"), "work_id")
-    return graph.reading_paths(members, fx.graph(b))
+    g = materialize(fx.graph(b), "graph")  # read for the scores and for the edges inside collections
+    scores = medallion.gold_paper_metrics(b, g).select("work_id", F.round("foundational_score", 6).alias("foundational_score"))
+    members = materialize(fx.members(spark, sf, b).join(scores, "work_id"), "members")
+    return graph.reading_paths(members, g)
 
 
 @query(f"""{_PATH_SQL} SELECT c AS collection_id, rank, w AS work_id, array_to_string(pre, ' ') AS prerequisites, array_to_string(post, ' ') AS unlocks,
