@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.fixed import CHUNK_OVERLAP, CHUNK_SIZE, CITES, NO_EDGE, READ_FIRST
+from citeloom.llm.common import global_rank
 from citeloom.shipping import ship_package
 
 _EDGES = r"(?U)^\s+|\s+$"
@@ -77,17 +78,13 @@ def chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -
 def batched(df: DataFrame, id_column: str, size: int) -> DataFrame:
     """(batch, ids): the ids in order, ``size`` to a batch, the last one shorter.
 
-    Places are counted without a global window: rows are ranged by id, counted
-    for each range and moved up by the ranges before.
+    Places are counted without a global window: rows are ranged by id and written
+    once, counted for each range and moved up by the ranges before.
     """
     if size <= 0:
         raise ValueError("size must be positive")
-    ordered = df.select(F.col(id_column).alias("id")).repartitionByRange("id").sortWithinPartitions("id")
-    placed = ordered.withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("m", 33))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = placed.join(F.broadcast(starts), "part").select(F.floor(place / size).alias("batch"), "id")
+    placed = global_rank(df.select(F.col(id_column).alias("id")), ["id"], "batches", "place")
+    numbered = placed.select(F.floor(F.col("place") / size).alias("batch"), "id")
     return numbered.groupBy("batch").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 

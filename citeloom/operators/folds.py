@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import global_rank
 from citeloom.plans.medallion import SERVED
 from citeloom.schemas import PROGRESS_STATES
 
@@ -80,12 +81,11 @@ def keep_first(log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_ids(log: DataFrame, name: str, start: int = 1) -> DataFrame:
-    """Numbers the rows of a log (seq, ...) from ``start`` in log order, without a global window."""
-    ordered = log.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ordered.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    number = F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + start
-    return ordered.join(F.broadcast(starts), "_part").withColumn(name, number).drop("_m", "_part", "_start")
+    """Numbers the rows of a log (seq, ...) from ``start`` in log order, without a global window.
+
+    The ranged rows are written once: planned twice, their ranges would differ.
+    """
+    return global_rank(log, ["seq"], "ids", name).withColumn(name, F.col(name) + start)
 
 
 def save_plan(members: DataFrame, path: DataFrame) -> DataFrame:

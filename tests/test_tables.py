@@ -97,6 +97,14 @@ def test_membership_and_ids(spark):
     assert {(r.work_id, r.ts) for r in folds.keep_first(log, ["work_id"]).collect()} == {("a", 10), ("b", 30), ("c", 50)}
 
 
+def test_ids_of_many_wide_rows(spark):
+    n = 400_000
+    log = spark.range(1, n + 1).select(F.col("id").alias("seq"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("note"))
+    wrong = F.count_if(~F.col("n").eqNullSafe(F.col("seq") + 6))
+    got = folds.with_ids(log.repartition(16, F.xxhash64("seq")), "n", 7).agg(F.count("*"), F.count_distinct("n"), wrong, F.count_if(F.length("note") != 192)).first()
+    assert tuple(got) == (n, n, 0, 0)
+
+
 def paper(spark, rows):
     return spark.createDataFrame(rows, "work_id string, narrative_abstract string, synced_at int, embedded_at int").select("work_id", *[F.col(c) if c == "narrative_abstract" else F.lit("x").alias(c) for c in folds.PAPER_FIELDS], "synced_at", "embedded_at")
 
