@@ -115,13 +115,33 @@ def mean_ratio(value: Column, ratios: list[float]) -> Column:
     return F.coalesce(F.when(F.size(pairs) > 0, total / F.size(pairs)), F.lit(float("-inf")))
 
 
+def has_random_stretch(value: Column, ratios: list[float]) -> Column:
+    """Whether a stretch of 20 or more characters of a string, at least an eighth of them letters, is above THRESHOLD.
+
+    One fold: a stretch goes on while its mean ratio is above THRESHOLD, so
+    an ordinary path or name before it or behind it does not weigh it down.
+    """
+    known = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+
+    def step(acc: Column, i: Column) -> Column:
+        gain, n = acc["gain"] + F.get(known, i) - THRESHOLD, acc["n"] + 1
+        letters = acc["letters"] + F.when(i < 52 * _N, 1).otherwise(0)
+        hit = acc["hit"] | ((gain > 0) & (n >= 19) & (letters * 8 >= n))
+        return F.when(gain > 0, F.struct(gain.alias("gain"), n.alias("n"), letters.alias("letters"), hit.alias("hit"))).otherwise(
+            F.struct(F.lit(0.0).alias("gain"), F.lit(0).alias("n"), F.lit(0).alias("letters"), acc["hit"].alias("hit"))
+        )
+
+    start = F.struct(F.lit(0.0).alias("gain"), F.lit(0).alias("n"), F.lit(0).alias("letters"), F.lit(False).alias("hit"))
+    return F.coalesce(F.aggregate(_pairs(value), start, step, lambda acc: acc["hit"]), F.lit(False))
+
+
 def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, end, kind) in code points for every row of ``docs``.
 
     ``base`` holds the matches of the fixed patterns. ``spans`` adds, as kind
-    ``markov``, runs of 20 or more token characters with a letter and a digit
-    whose mean log-likelihood ratio is above THRESHOLD and that overlap no
-    base span. A null or empty text has no spans; repeated rows and null ids
+    ``markov``, runs of 20 or more token characters that overlap no base span
+    and have a letter and a digit and a mean log-likelihood ratio above
+    THRESHOLD, or, digit or not, a stretch of that length above it. A null or empty text has no spans; repeated rows and null ids
     are each returned; an empty table gives no rows; columns other than doc_id
     and text are not read. The models are learnt from labelled_samples; with
     no labelled sample nothing is added.
@@ -138,7 +158,8 @@ def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     def is_new(t: Column) -> Column:
         apart = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         value = t["value"]
-        return apart & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (mean_ratio(value, ratios) > THRESHOLD)
+        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        return apart & ((mixed & (mean_ratio(value, ratios) > THRESHOLD)) | has_random_stretch(value, ratios))
 
     added = F.filter("tokens", is_new)
     place = {k: i for i, k in enumerate([*[k for k, *_ in KINDS], "markov"])}

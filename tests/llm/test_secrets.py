@@ -58,3 +58,15 @@ def test_models_tell_random_from_ordinary(spark, make_docs, ratios):
     assert min(score[s] for s in secrets) > max(score[p] for p in plain)
     got = {r.doc_id: r.s for r in scan(make_docs([(1, f"é see {secrets[0]} now"), (2, " ".join(plain))]), ratios).select("doc_id", joined(F.col("spans")).alias("s")).collect()}
     assert got == {1: "markov:6:38", 2: ""}
+
+
+def test_keys_behind_ordinary_text_and_of_letters_only(make_docs, ratios):
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda alphabet, n=32: "".join(rnd.choice(alphabet) for _ in range(n))
+    path = "/theation/thereandthe/andthering/theandthere/reandtheation/thingandthere/"
+    secrets = [f(key(letters + "0123456789")) for f in (lambda k: path + k, lambda k: f"theationand_thering_thereand={k}", lambda k: k + path) for _ in range(20)] + [key(letters, 40) for _ in range(20)]
+    plain = [path, "theationthandere_and_reing_the_2", path + "20240115123456789012345", "andtheinthestion/thereanding/2024-01-15"]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in scan(make_docs([(i, f"see {t} there") for i, t in enumerate(secrets + plain)]), ratios).collect()}
+    assert [got[i] for i in range(len(secrets))] == [["markov"]] * len(secrets)
+    assert [got[len(secrets) + i] for i in range(len(plain))] == [[]] * len(plain)
