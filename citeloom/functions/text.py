@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.fixed import CHUNK_OVERLAP, CHUNK_SIZE, CITES, NO_EDGE, READ_FIRST
-from citeloom.llm.common import global_rank
+from citeloom.ranks import global_rank
 from citeloom.shipping import ship_package
 
 _EDGES = r"(?U)^\s+|\s+$"

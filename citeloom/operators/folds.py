@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import global_rank
 from citeloom.plans.medallion import SERVED
+from citeloom.ranks import global_rank
 from citeloom.schemas import PROGRESS_STATES
 
 #: What a sync overwrites.
