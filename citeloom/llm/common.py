@@ -2,51 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from citeloom.ranks import broadcast_if_small, global_rank
 from citeloom.scratch import materialize
 
 __all__ = ["bounded_batches", "broadcast_if_small", "global_rank", "materialize", "table"]
 
-#: A table is broadcast only below this many rows (of a few columns each).
-BROADCAST_ROWS = 500_000
-#: An Arrow batch that goes to Python holds about this many bytes at most.
-ARROW_BATCH_BYTES = 8 << 20
+#: An Arrow batch that goes to Python holds about this many bytes and this many rows at most.
+ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = 8 << 20, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df`` (cheap to count) has at most ``limit`` rows; else ``df``."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of an Arrow batch, for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
-def global_rank(df: DataFrame, keys: list[Column | str], name: str, rank: str = "_rank") -> DataFrame:
-    """Adds the 0-based position of each row in the order of ``keys``.
-
-    Rows are dealt by sampled ranges of all keys, so that one frequent value
-    does not land in one task; a table of one row for each partition then turns
-    places inside partitions into places overall.
-    """
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), name)
-    part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(rank, F.col("_start") + inside)
-        .drop("_part", "_place", "_start")
-    )
+    """Bounds the Arrow batches of the session, for tables with very long texts; smaller bounds that are set stay."""
+    for key, most in (("maxBytesPerBatch", ARROW_BATCH_BYTES), ("maxRecordsPerBatch", ARROW_BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))

@@ -7,7 +7,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import bounded_batches, broadcast_if_small, materialize, table
@@ -18,7 +18,7 @@ BITS = 2  # fingerprints link at this many differing bits or fewer
 MIN_BYTES = 8 - BITS  # so they share at least this many positional bytes
 WIDTH = 3
 SEED = 42
-#: Posting lists up to this length are paired; longer ones take the exact way by midpoints.
+#: Posting lists up to this length are paired; the fingerprints of longer ones take the exact way by neighbours.
 LIST_LIMIT = 16
 _PIECE = 1 << 15
 
@@ -62,29 +62,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _mask(blocks: tuple[int, int]) -> int:
-    m = sum(0xFFFF << (16 * b) for b in blocks)
+def _mask(places: tuple[int, ...]) -> int:
+    m = sum(0xFF << (8 * p) for p in places)
     return m - (1 << 64) if m >> 63 else m
 
 
-#: Two differing bytes touch two of the four byte pairs at most, so two pairs are equal in full.
-MASKS = [_mask(c) for c in combinations(range(4), 2)]
-
-
-def _shared_bytes(x: Column) -> Column:
-    """Positional bytes in which two fingerprints with the XOR ``x`` agree."""
-    return sum((F.when(F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for p in range(1, 8)), F.when(x.bitwiseAND(F.lit(255)) == 0, 1).otherwise(0))
+#: The posting lists: four positional bytes each, at the places whose numbers have the XOR 0. Any three places are in
+#: exactly one of these 14 sets, so the lists two fingerprints share tell how many positional bytes they share: 7 lists
+#: for 7 bytes, 3 for 6, 1 for 5, at most 1 for fewer.
+PLACES = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+MASKS = [_mask(c) for c in PLACES]
+#: What a pair with the least number of equal bytes has in common, whichever bytes differ.
+MIN_LISTS = min(sum(not set(c) & set(differing) for c in PLACES) for differing in combinations(range(8), 8 - MIN_BYTES))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) with the same components as the links among ``nodes`` (fp, rep), fp distinct.
 
-    Postings are keyed by two of the four positional byte pairs. Members of a
-    short list are paired, shared positional bytes are tallied, pairs with
-    ``MIN_BYTES`` or more are verified bit by bit. Fingerprints of long lists
-    take an exact way without pairs: two fingerprints link if and only if one
-    of their neighbours at up to one flipped bit is shared, and a shared
-    neighbour has 65 owners at most.
+    The inverted index has a list for each value of each set of four
+    positional bytes (a single byte has 256 values only, so its lists would
+    grow with the corpus and their pairs with its square). Members of a list
+    are paired, the lists that a pair shares are tallied, pairs with MIN_LISTS
+    or more, which is to say MIN_BYTES equal bytes or more, are retained and
+    verified bit by bit.
+
+    Lists of more than LIST_LIMIT fingerprints are not paired. A pair that
+    shares such a list has both members in it; for these members there is an
+    exact way without pairs: two fingerprints link if and only if one of their
+    neighbours at up to one flipped bit is shared, and a shared neighbour has
+    65 owners at most. A pair that shares no such list is tallied in full.
     """
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(MASKS)])
     postings = nodes.select("fp", "rep", F.inline(keys))
@@ -93,8 +99,8 @@ def links(nodes: DataFrame) -> DataFrame:
     short = live.where(F.col("n") <= LIST_LIMIT)
     left = short.select("k", "key", F.col("fp").alias("fa"), F.col("rep").alias("a"))
     right = short.select("k", "key", F.col("fp").alias("fb"), F.col("rep").alias("b"))
-    x = F.col("fa").bitwiseXOR(F.col("fb"))
-    pairs = left.join(right, ["k", "key"]).where("a < b").where(_shared_bytes(x) >= MIN_BYTES).where(F.bit_count(x) <= BITS).select("a", "b")
+    tally = left.join(right, ["k", "key"]).where("a < b").groupBy("a", "b", "fa", "fb").agg(F.count("*").alias("lists"))
+    pairs = tally.where(F.col("lists") >= MIN_LISTS).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= BITS).select("a", "b")
     hot = live.where(F.col("n") > LIST_LIMIT).select("fp", "rep").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
     near = hot.select("rep", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("mid"))
@@ -110,9 +116,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     shingles have three words (the whole sequence if there are fewer).
     A null, empty or blank text has fingerprint zero and links like any other.
     Equal texts have equal fingerprints, so each distinct fingerprint is one
-    node and copies are never paired. Repeated rows are each returned; rows
-    with a null doc_id come back with the component of their fingerprint.
-    An empty table gives no rows; other columns are not read.
+    node and copies are never paired. A very long text is hashed whole, in
+    pieces of bounded size. A bit set in exactly half the shingles is 0; of
+    equal fingerprints and of a component the smallest doc_id speaks. Repeated
+    rows are each returned; rows with a null doc_id come back with the
+    component of their fingerprint, but a fingerprint that only such rows have
+    links nothing (its component is null). An empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "fp-nodes")
@@ -125,8 +135,10 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class; every column stays.
 
-    Repeated rows of one doc_id count as one document and share its fate; rows
-    with a null doc_id stay.
+    Repeated rows of one doc_id count as one document: they go if any of them
+    is in a class with a smaller doc_id. Rows with a null doc_id stay. Null,
+    empty and blank texts are copies of each other. Very long texts and an
+    empty table need no other care; columns of any name pass through.
     """
     gone = materialize(near_duplicate_classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -1,10 +1,11 @@
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import xxhash
 from pyspark.sql import functions as F
 
-from citeloom.llm.simhash import drop_near_duplicates, links, near_duplicate_classes
+from citeloom.llm.simhash import LIST_LIMIT, MIN_LISTS, PLACES, drop_near_duplicates, links, near_duplicate_classes
 
 
 def brute_print(text):
@@ -40,6 +41,38 @@ def test_whole_table(docs):
     assert kept == {d for d, c in want.items() if d == c}
 
 
+def test_shared_lists_tell_shared_bytes():
+    """Whichever bytes differ: the retained pairs are those with six or more equal bytes, no more and no fewer."""
+    for n in range(9):
+        for differing in combinations(range(8), n):
+            shared = sum(not set(c) & set(differing) for c in PLACES)
+            assert (shared >= MIN_LISTS) == (n <= 2)
+
+
+def signed(p):
+    return p - (1 << 64 if p >> 63 else 0)
+
+
+def test_dense_clusters_of_every_size(spark):
+    """Around the limit of a list, with links of which some lists are long and others short."""
+    rnd = random.Random(17)
+    prints = set()
+    for size in (2, LIST_LIMIT - 1, LIST_LIMIT, LIST_LIMIT + 1, 4 * LIST_LIMIT):
+        base = rnd.getrandbits(64)
+        low = [rnd.randrange(1 << 32) for _ in range(size)]  # the upper four bytes are shared by all, so one list is long
+        prints |= {base >> 32 << 32 | x for x in low}
+        for x in low[: size // 2]:
+            p = base >> 32 << 32 | x
+            prints |= {p ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64), p ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64)}
+    prints = list(enumerate(sorted(prints, key=lambda p: (p * 2654435761) % 1000003)))
+    want = brute_components(prints)
+    from citeloom.llm.components import connected_components
+
+    nodes = spark.createDataFrame([(signed(p), i) for i, p in prints], "fp long, rep long")
+    got = {r.node: r.component for r in connected_components(links(nodes)).collect()}
+    assert {i: got.get(i, i) for i, _ in prints} == want
+
+
 def test_long_lists_and_chains(spark):
     rnd = random.Random(5)
     base = rnd.getrandbits(64)
