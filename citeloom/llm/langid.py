@@ -15,13 +15,14 @@ from citeloom.llm.common import bounded_batches, materialize, table
 from citeloom.shipping import ship_package
 
 ORDER = 4
-#: Bounds of the training sample: documents of a language, and characters of each.
+#: Bounds of the training sample: documents of a language, and characters of each (a window that a hash of the id places).
 TRAIN_DOCS = 1500
 TRAIN_CHARS = 20_000
 FOLDS = 5
 CALIBRATION_FOLD = 1
-#: A text is rejected beyond this multiple of the largest residual seen in calibration.
-REJECT_MARGIN = 4.0
+#: A text of a known language is rejected with this probability. As no sample shows so rare a residual, the limit
+#: follows from the largest TAIL of those in calibration, whose excess is taken for exponential.
+FALSE_REJECTION, TAIL = 1e-6, 0.05
 BOS, GAP, BASE = 0x110000, 0x20, 0x110001
 UNDECIDED = "und"
 _PIECE_CELLS, _PIECE_LEAST = 2_000_000, 1 << 14
@@ -231,6 +232,7 @@ def fit(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> M
                 total, kinds = n.sum(), len(n)
                 own[at] = (n - d) / total
                 values[:, j] = own + d * kinds / total * np.exp(floor)
+                model.floor[j] += np.log(d * kinds / total)  # what an unknown character gets
                 continue
             place = inverse[at]
             total = np.bincount(place, weights=n, minlength=len(ckeys))
@@ -259,10 +261,17 @@ def calibrate(model: Model, truth: np.ndarray, ce: np.ndarray, top: np.ndarray,
     model.mean = np.array([np.median(top[truth == j]) if (truth == j).any() else np.median(top) for j in range(len(model.langs))])
     unit = (top - model.mean[truth]) / (0.1 + 1 / np.sqrt(np.maximum(n, 1)))
     model.spread = np.array([max(np.std(unit[truth == j]), 1e-3) if (truth == j).sum() > 1 else max(np.std(unit), 1e-3) for j in range(len(model.langs))])
-    model.limit = REJECT_MARGIN * max(float(model.residual(top, n, truth).max()), 3.0)
+    model.limit = rejection_limit(model.residual(top, n, truth))
     return model
 
 
+def rejection_limit(residuals: np.ndarray, rate: float = FALSE_REJECTION) -> float:
+    """The residual that texts like those of calibration exceed at ``rate``: a peaks-over-threshold estimate."""
+    start = float(np.quantile(residuals, 1 - TAIL))
+    beyond = residuals[residuals > start]
+    return start + max(float((beyond - start).mean()) if len(beyond) else 0.0, 1.0) * float(np.log(TAIL / rate))
+
+
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
@@ -280,27 +289,37 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", *[f"c{j}" for j in range(ORDER)], "n"])
 
 
-def train(docs: DataFrame) -> Model:
-    """Fits and calibrates the models on a bounded sample of the labelled rows outside fold 0.
+def training_sample(docs: DataFrame) -> DataFrame:
+    """(lang, text, calibrates): a bounded sample of the labelled rows outside fold 0.
 
-    At most about TRAIN_DOCS documents of each language, chosen by a hash of
-    the id, of at most TRAIN_CHARS characters each, are read.
+    About TRAIN_DOCS documents of each language, chosen by a hash of the id.
+    Of a text of more than TRAIN_CHARS characters, so many are read, from a
+    place that the same hash decides; so no language goes for the length of
+    its texts. Rows of CALIBRATION_FOLD calibrate, but for those of a language
+    that has no others.
     """
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 0)
+    labelled = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", (fold(F.col("doc_id")) == CALIBRATION_FOLD).alias("calibrates"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("calibrates").alias("no_other")).collect()  # a row a language
+    if not sizes:
+        return labelled.select("lang", "text", "calibrates")
+    by_lang = lambda value: F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(value(r)))]), F.col("lang"))
+    h = F.xxhash64("doc_id")
+    chosen = labelled.where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < by_lang(lambda r: min(1.0, TRAIN_DOCS / r.n)))
+    start = F.pmod(F.shiftrightunsigned(h, 30), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1) + 1
+    window = F.substring(F.col("text"), start.cast("int"), F.lit(TRAIN_CHARS))
+    return chosen.select("lang", window.alias("text"), (F.col("calibrates") & ~by_lang(lambda r: r.no_other)).alias("calibrates"))
+
+
+def train(docs: DataFrame) -> Model:
+    """Fits and calibrates the models on ``training_sample``. Their arrays take 4 bytes a known gram and language."""
     spark = docs.sparkSession
     ship_package(spark)
     bounded_batches(spark)
-    labelled = docs.where("lang is not null").where(fold(F.col("doc_id")) != 0)
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model([], {}, {}, np.zeros(0))
-    langs = sorted(sizes)
-    shares = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / sizes[k])))])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(chance < F.element_at(shares, F.col("lang"))).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    chosen = materialize(chosen.select("lang", "text", fold(F.col("doc_id")).alias("fold")), "langid-sample")
+    chosen = materialize(training_sample(docs), "langid-sample")
     names = [f"c{j}" for j in range(ORDER)]
     schema = "lang string, " + "".join(f"{c} int, " for c in names) + "n long"
-    part = chosen.where(F.col("fold") != CALIBRATION_FOLD).select("lang", "text")
+    part = chosen.where("NOT calibrates").select("lang", "text")
     grams = part.mapInArrow(_count_grams, schema).groupBy("lang", *names).agg(F.sum("n").alias("n")).toPandas()
     grams = grams.sort_values(["lang", *names])
     counts = {x: (g[names].to_numpy(np.uint32), g["n"].to_numpy()) for x, g in grams.groupby("lang")}
@@ -315,7 +334,7 @@ def train(docs: DataFrame) -> Model:
             ce, top, n, found = shared.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ce.tolist(), type=pa.list_(pa.float64())), pa.array(top), pa.array(np.where(found, n, 0))], names=["lang", "ce", "top", "n"])
 
-    held = chosen.where(F.col("fold") == CALIBRATION_FOLD).select("lang", "text").mapInArrow(scored, "lang string, ce array<double>, top double, n long").where("n > 0").toPandas()
+    held = chosen.where("calibrates").select("lang", "text").mapInArrow(scored, "lang string, ce array<double>, top double, n long").where("n > 0").toPandas()
     held = held[held["lang"].isin(langs)]
     truth = np.array([langs.index(x) for x in held["lang"]], dtype=np.int64)
     return calibrate(model, truth, np.array(held["ce"].tolist()).reshape(len(truth), len(langs)), held["top"].to_numpy(), held["n"].to_numpy())
@@ -328,10 +347,12 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     text wins; score is its calibrated share in [0, 1]; accepted is false if
     the cross-entropy is beyond what calibration texts of that language show.
     A text that is null or has no letter is ``und`` with score 0, not accepted;
-    so is every text if there is no labelled row to learn from. Null doc_ids
-    are in the fold of the empty string. Repeated rows are each predicted; an
-    empty table gives no rows. lang is read for training only; other columns
-    are not read.
+    so is every text if there is no labelled row to learn from. Of languages
+    with one cross-entropy the first by name wins. A very long text is scored
+    whole, in pieces of bounded size. Null doc_ids are in the fold of the empty
+    string. Repeated rows are each predicted; an empty table gives no rows.
+    lang is read for training only; other columns, whatever their names, are
+    not read.
     """
     shared = _shared_model(docs, model)
 
@@ -345,7 +366,13 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is accepted, with their columns."""
+    """The rows of ``docs`` whose language is accepted, with their columns.
+
+    Null and empty texts and those without a letter go, and so do all rows if
+    none is labelled; a null doc_id or lang is no reason to go. Very long texts
+    are scored whole; repeated rows share their fate; an empty table stays
+    empty; columns of any name pass through.
+    """
     shared = _shared_model(docs, model)
     at = docs.columns.index("text")
 
