@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,29 +12,27 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import broadcast_if_small, materialize, table
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Default targets: shares in proportion to the tokens of a category to this power.
+#: Default targets: the marginals of the cells with their tokens to this power.
 ALPHA = 0.7
 #: Share of all tokens that the sample should hold.
 KEEP = 0.7
-ROUNDS_A_STEP = 4
-MAX_STEPS = 12
-TOLERANCE = 1e-6
+#: Fitting ends when no share is off its target by more than TOLERANCE; targets that are not met after so many steps are an error.
+TOLERANCE, ROUNDS_A_STEP, MAX_STEPS = 1e-6, 2, 100
+#: Up to so many cells (of some 100 bytes each) are fitted without a shuffle.
+ONE_TASK = 100_000
 SEED = 7
+#: Topics are learnt over so many hashed terms, in so many rounds.
+TOPICS, TERMS, LEARNING_ROUNDS = 6, 512, 3
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic from the form of a text: table, markup, capitals, figures, note or prose.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas would compute what they mention anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    The tables carry no topic; a column named ``topic`` is used where there is one.
-    """
-    return (
-        F.when(text.contains(" | "), "table")
-        .when(text.rlike(r"[#*$%&<>]{3}"), "markup")
-        .when((text == F.upper(text)) & (text != F.lower(text)), "capitals")
-        .when(text.rlike(r"[0-9]{5}"), "figures")
-        .when(F.length(text) < 300, "note")
-        .otherwise("prose")
-    )
+
+def _words(text: Column) -> Column:
+    """Runs without ASCII white space; an empty string may stand at the ends."""
+    return F.split(text, r"[\x20\x09-\x0D]+")
 
 
 def tokens(text: Column) -> Column:
@@ -40,44 +40,119 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _dims(docs: DataFrame) -> list[Column]:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic(text)
-    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), own.alias("topic")]
+def terms(text: Column) -> Column:
+    """The distinct hashed terms of a text, words without regard to case and order."""
+    hashed = F.transform(_words(F.lower(text)), lambda w: F.when(w != "", F.pmod(F.xxhash64(w), F.lit(TERMS)).cast("int")))
+    return F.array_distinct(F.filter(hashed, lambda t: t.isNotNull()))
+
+
+@dataclass(frozen=True)
+class Topics:
+    """log p(term | topic) and log p(topic) of a mixture in which each document has one topic."""
+
+    terms: list[list[float]]
+    topics: list[float]
+
+    def of(self, found: Column) -> Column:
+        """The likeliest topic of a document with the terms ``found``; the first of several, and of a document without a term."""
+        tables = [F.split(F.lit(",".join(f"{x:.6f}" for x in row)), ",").cast("array<double>") for row in self.terms]
+        names = [f"s{k}" for k in range(len(tables))]
+        state = lambda values: F.named_struct(*[x for n, v in zip(names, values, strict=True) for x in (F.lit(n), v)])
+        scores = F.aggregate(found, state([F.lit(x) for x in self.topics]), lambda acc, t: state([acc[n] + F.get(row, t) for row, n in zip(tables, names, strict=True)]))
+
+        def best(s: Column) -> Column:
+            most, out = F.greatest(*[s[n] for n in names]), F.lit(f"t{len(names) - 1}")
+            for k in range(len(names) - 2, -1, -1):
+                out = F.when(s[names[k]] == most, f"t{k}").otherwise(out)
+            return F.when(F.size(found) > 0, out).otherwise(F.lit("t0"))
+
+        return _let(scores, best)
+
+
+def learn_topics(rows: DataFrame, n: int = TOPICS) -> Topics:
+    """Topics of all documents by their ``terms``: a mixture of unigrams over hashed terms, fitted by hard EM.
+
+    Documents begin in the topic that the hash of their rarest term names.
+    Each round counts (topic, term), a table of a bounded size, and assigns
+    each document inside its row; documents are not shuffled.
+    """
+    common = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()  # TERMS rows at most
+    df = [0] * TERMS
+    for r in common:
+        df[r.t] = r.df
+    known = F.split(F.lit(",".join(map(str, df))), ",").cast("array<bigint>")
+    rarest = F.array_min(F.transform("terms", lambda t: F.named_struct(F.lit("df"), F.get(known, t), F.lit("h"), F.xxhash64(t))))
+    topic = F.concat(F.lit("t"), F.coalesce(F.pmod(rarest["h"], F.lit(n)), F.lit(0)).cast("string"))
+    model = None
+    for _ in range(LEARNING_ROUNDS):
+        seen = F.concat("terms", F.array(F.lit(TERMS)))  # beyond the last term: the documents themselves
+        # Inside the array, so that a topic is found once a document and not once a term.
+        pairs = _let(topic, lambda k: F.transform(seen, lambda t: F.named_struct(F.lit("topic"), k, F.lit("t"), t)))
+        counts = rows.select(F.inline(pairs)).groupBy("topic", "t").agg(F.count("*").alias("n")).collect()  # n * (TERMS + 1) rows at most
+        table_, sizes = [[0.5] * TERMS for _ in range(n)], [1] * n
+        for r in counts:
+            if r.t < TERMS:
+                table_[int(r.topic[1:])][r.t] += r.n
+            else:
+                sizes[int(r.topic[1:])] += r.n
+        model = Topics([_logs(row) for row in table_], _logs(sizes))
+        topic = model.of(F.col("terms"))
+    return model
+
+
+def _logs(values: list[float]) -> list[float]:
+    total = log(sum(values))
+    return [log(v) - total for v in values]
+
+
+def _metadata(docs: DataFrame) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang", *(["topic"] if "topic" in docs.columns else []))]
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA) -> DataFrame:
     """Adds ``weight`` to ``cells`` (source, lang, topic, tokens): token weights, sum 1, with the target marginals.
 
     ``targets`` gives shares by category for some or all dimensions; others
-    aim at tokens to the power ``alpha``. Categories that a given mapping
-    lacks get the share 0; shares are scaled to sum 1 over those present.
-    The table has a row for each combination of categories that occurs and is
-    fitted in one partition; each round scales it to each marginal in turn.
+    aim at the marginals of tokens to the power ``alpha``, which can always be
+    met together. Categories that a given mapping lacks get the share 0;
+    shares are scaled to sum 1 over those present.
+
+    Each round scales the weights to each dimension in turn, by sums that are
+    grouped by its categories; ROUNDS_A_STEP rounds are one job and a written
+    table. Up to ONE_TASK cells are dealt to one task, more are shuffled by
+    the dimension at hand. If the targets cannot be met together, ValueError
+    says by how much.
     """
-    c = cells.where("tokens > 0").coalesce(1).sortWithinPartitions(*DIMENSIONS)
+    c = cells.where("tokens > 0").select(*DIMENSIONS, "tokens")
+    n, total, tempered = c.agg(F.count("*"), F.sum("tokens"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(alpha)))).first()
+    if not n:
+        return c.withColumn("weight", F.lit(0.0))
+    if n <= ONE_TASK:
+        c = c.coalesce(1).sortWithinPartitions(*DIMENSIONS)
+    c = c.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for d in DIMENSIONS:
-        own = F.sum("tokens").over(Window.partitionBy(d))
         if targets and d in targets:
             pairs = [x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))]
             aim = F.coalesce(F.element_at(F.create_map(*pairs), F.col(d)), F.lit(0.0)) if pairs else F.lit(0.0)
+            whole = cells.where("tokens > 0").select(d).distinct().agg(F.sum(aim)).first()[0]
+            if not whole > 0:
+                raise ValueError(f"no share for any {d} that occurs")
+            c = c.withColumn(f"_t_{d}", aim / F.lit(whole))
         else:
-            aim = F.pow(own.cast("double"), F.lit(alpha))
-        c = c.withColumn(f"_t_{d}", aim)
-        first = F.row_number().over(Window.partitionBy(d).orderBy(*DIMENSIONS))
-        c = c.withColumn("_first", first == 1)
-        c = c.withColumn(f"_t_{d}", F.col(f"_t_{d}") / F.sum(F.when(F.col("_first"), F.col(f"_t_{d}"))).over(Window.partitionBy()))
-    c = c.drop("_first").withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+            c = c.withColumn(f"_t_{d}", F.sum(F.pow(F.col("tokens").cast("double"), F.lit(alpha))).over(Window.partitionBy(d)) / F.lit(tempered))
+    off = 1.0
     for _ in range(MAX_STEPS):
         for _ in range(ROUNDS_A_STEP):
             for d in DIMENSIONS:
-                total = F.sum("weight").over(Window.partitionBy(d))
-                c = c.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"_t_{d}") / total).otherwise(F.lit(0.0)))
-        off = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"_t_{d}")) for d in DIMENSIONS]
-        c = materialize(c.withColumn("_off", F.greatest(*off)), "rake").coalesce(1)
-        if (c.agg(F.max("_off")).first()[0] or 0.0) < TOLERANCE:
-            break
-    return c.select(*DIMENSIONS, "tokens", "weight")
+                now = F.sum("weight").over(Window.partitionBy(d))
+                c = c.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_t_{d}") / now).otherwise(F.lit(0.0)))
+        share = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"_t_{d}")) for d in DIMENSIONS]
+        c = materialize(c.withColumn("_off", F.greatest(*share)), "rake")
+        off = c.agg(F.max("_off")).first()[0]
+        if off < TOLERANCE:
+            return c.select(*DIMENSIONS, "tokens", "weight")
+        c = (c.coalesce(1) if n <= ONE_TASK else c).drop("_off")
+    raise ValueError(f"the target shares cannot be met together: one is off by {off:.3g} after {MAX_STEPS * ROUNDS_A_STEP} rounds")
 
 
 def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -85,20 +160,23 @@ def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
 
     The factor is such that the expected tokens of the sample are ``keep`` of
     all: cells that would exceed 1 are taken whole and the factor for the rest
-    grows accordingly, found in one pass over the cells by falling ratio.
+    grows accordingly, until no further cell does. Each step is one sum.
     """
-    r = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    order = Window.orderBy(F.desc("ratio"), *DIMENSIONS)
-    above = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    r = r.withColumn("_whole", F.coalesce(F.sum("tokens").over(above), F.lit(0)))
-    r = r.withColumn("_rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    goal = F.sum("tokens").over(everything) * F.lit(keep)
-    r = r.withColumn("_factor", F.when(F.col("_rest") > 0, (goal - F.col("_whole")) / F.col("_rest")))
-    fits = (F.col("_factor") * F.col("ratio") <= 1) & (F.col("_whole") <= goal)
-    r = r.withColumn("_factor", F.max(F.when(fits, F.col("_factor"))).over(everything))
-    capped = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.coalesce(F.col("_factor") * F.col("ratio"), F.lit(1.0)))).otherwise(F.lit(0.0))
-    return r.select(*DIMENSIONS, "tokens", "weight", capped.alias("prob"))
+    ratio = F.col("weight") / F.col("tokens")
+    goal = (raked.agg(F.sum("tokens")).first()[0] or 0) * keep
+    factor = 0.0
+    while True:
+        whole = (ratio * F.lit(factor) >= 1) & (F.col("weight") > 0)
+        held, rest = raked.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(F.col("weight")))).first()
+        if not rest or held >= goal:
+            factor = factor if rest else float("inf")
+            break
+        grown = (goal - held) / rest
+        if grown <= factor * (1 + 1e-12):
+            break
+        factor = grown
+    prob = F.when(F.col("weight") > 0, F.least(F.lit(1.0), ratio * F.lit(factor))).otherwise(F.lit(0.0))
+    return raked.select(*DIMENSIONS, "tokens", "weight", prob.alias("prob"))
 
 
 def chance(doc_id: Column, seed: int = SEED) -> Column:
@@ -106,11 +184,16 @@ def chance(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mixing_plan(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> tuple[DataFrame, DataFrame]:
-    """(rows, cells): doc_id, dimensions and tokens of each document; the calibrated cells."""
-    rows = materialize(docs.select("doc_id", *_dims(docs), tokens(F.coalesce(F.col("text"), F.lit(""))).alias("n_tokens")), "mix-rows")
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    return rows, materialize(calibrate(rake(cells, targets), keep), "mix-cells")
+def mixing_plan(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> tuple[DataFrame, DataFrame, Topics | None]:
+    """(rows, cells, topics): doc_id, dimensions and tokens of each document; the calibrated cells; the topics, if they are learnt."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    learnt = "topic" not in docs.columns
+    rows = materialize(docs.select("doc_id", *_metadata(docs), tokens(text).alias("n_tokens"), *([terms(text).alias("terms")] if learnt else [])), "mix-rows")
+    topics = learn_topics(rows) if learnt else None
+    if learnt:
+        rows = materialize(rows.select("doc_id", "source", "lang", topics.of(F.col("terms")).alias("topic"), "n_tokens"), "mix-rows")
+    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-tokens")
+    return rows, materialize(calibrate(materialize(rake(cells, targets), "mix-raked"), keep), "mix-cells"), topics
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
@@ -118,12 +201,17 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
     ``weight`` is the document's share of the raked token weights (weight of
     its cell by tokens). A document is kept if its number in [0, 1) is below
-    ``prob``. Null metadata are the category ''; null and blank texts have no
-    tokens, weight 0 and probability 0 and are not kept; repeated rows share
-    their fate; an empty table gives no rows; only doc_id, text, source, lang
-    and, where present, topic are read.
+    ``prob``. The topic is a column of that name where there is one, else it
+    is learnt from the words of all texts.
+
+    Null metadata are the category ''; null and blank texts have no tokens,
+    weight 0 and probability 0 and are not kept; very long texts count whole;
+    repeated rows share their fate; of topics that are equally likely the
+    first is taken; targets that cannot be met together are a ValueError; an
+    empty table gives no rows; only doc_id, text, source, lang and, where
+    present, topic are read, whatever other columns are named.
     """
-    rows, cells = mixing_plan(docs, targets, keep)
+    rows, cells, _ = mixing_plan(docs, targets, keep)
     out = rows.join(broadcast_if_small(cells), list(DIMENSIONS), "left")
     share = F.coalesce(F.col("weight") * F.col("n_tokens") / F.col("tokens"), F.lit(0.0))
     prob = F.when(F.col("n_tokens") > 0, F.coalesce(F.col("prob"), F.lit(0.0))).otherwise(F.lit(0.0))
@@ -131,11 +219,17 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
 
 def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
-    """The kept documents, with the columns of ``docs``."""
-    _, cells = mixing_plan(docs, targets, keep)
+    """The kept documents, with the columns of ``docs``; the cases are those of ``mix``.
+
+    So null and blank texts go, null metadata are a category, repeated rows
+    (and all rows with a null id in one cell) share their fate, and an empty
+    table stays empty; columns of any name pass through.
+    """
+    _, cells, topics = mixing_plan(docs, targets, keep)
     names = [f"_mix_{d}" for d in DIMENSIONS]
     right = cells.where("prob > 0").select(*[F.col(d).alias(n) for d, n in zip(DIMENSIONS, names, strict=True)], F.col("prob").alias("_mix_prob"))
-    left = docs.withColumns(dict(zip(names, _dims(docs), strict=True))).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    own = _metadata(docs) + ([topics.of(terms(F.coalesce(F.col("text"), F.lit(""))))] if topics else [])
+    left = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns(dict(zip(names, own, strict=True)))
     return left.join(broadcast_if_small(right), names).where(chance(F.col("doc_id")) < F.col("_mix_prob")).select(*docs.columns)
 
 

@@ -1,9 +1,11 @@
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.llm.mixing import ALPHA, calibrate, mix, rake, sample_mix
+from citeloom.llm import mixing
+from citeloom.llm.mixing import ALPHA, calibrate, learn_topics, mix, rake, sample_mix, terms
 
 CELLS = "source string, lang string, topic string, tokens long"
 
@@ -15,8 +17,8 @@ def brute_rake(cells, targets=None, rounds=400):
         for k, d in enumerate(("source", "lang", "topic")):
             own = defaultdict(float)
             for c in cells:
-                own[c[k]] += c[3]
-            aim = {v: (targets[d].get(v, 0.0) if targets and d in targets else own[v] ** ALPHA) for v in own}
+                own[c[k]] += c[3] ** ALPHA
+            aim = {v: (targets[d].get(v, 0.0) if targets and d in targets else own[v]) for v in own}
             norm = sum(aim.values())
             now = defaultdict(float)
             for key, x in w.items():
@@ -27,7 +29,7 @@ def brute_rake(cells, targets=None, rounds=400):
 
 def test_rake_meets_marginals(spark):
     cells = [(s, x, t, 100 * (i + 1) ** 2 + 7 * j + 900 * k) for i, s in enumerate("abc") for j, x in enumerate(("en", "de")) for k, t in enumerate(("p", "q"))]
-    for targets in (None, {"source": {"a": 0.5, "b": 0.3, "c": 0.2}}):
+    for targets in (None, {"source": {"a": 0.5, "b": 0.3, "c": 0.2}}, {"source": {"a": 5, "b": 3}, "lang": {"en": 1, "de": 2}}):
         got = {(r.source, r.lang, r.topic): r.weight for r in rake(spark.createDataFrame(cells, CELLS), targets).collect()}
         want = brute_rake(cells, targets)
         assert got.keys() == want.keys()
@@ -35,6 +37,38 @@ def test_rake_meets_marginals(spark):
             assert got[k] == pytest.approx(v, abs=1e-5)
 
 
+def test_one_task_or_many(spark, monkeypatch):
+    cells = [(f"s{i % 7}", f"l{i % 3}", f"t{i % 2}", 10 + i * i) for i in range(42)]
+    frame = spark.createDataFrame(cells, CELLS)
+    one = {r[:3]: r.weight for r in rake(frame).collect()}
+    monkeypatch.setattr(mixing, "ONE_TASK", 3)
+    assert {r[:3]: pytest.approx(r.weight, abs=1e-12) for r in rake(frame).collect()} == one
+
+
+def test_targets_that_cannot_be_met_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 3)
+    cells = spark.createDataFrame([("a", "x", "p", 10), ("a", "y", "q", 90), ("b", "y", "q", 10)], CELLS)
+    with pytest.raises(ValueError, match="cannot be met together: one is off by 0.7"):
+        rake(cells, {"source": {"a": 0.1, "b": 0.9}, "lang": {"x": 0.9, "y": 0.1}})
+    with pytest.raises(ValueError, match="no share for any lang"):
+        rake(cells, {"lang": {"z": 1.0}})
+
+
+def test_topics_follow_the_words(spark, make_docs):
+    """Documents of two vocabularies, in any order and case, come into topics of their own; each is in its likeliest topic."""
+    rnd = random.Random(2)
+    vocabularies = [[f"{v}{i}" for i in range(40)] for v in ("sea", "law")]
+    docs = make_docs([(i, " ".join(rnd.choice((str.upper, str.lower))(rnd.choice(vocabularies[i % 2])) for _ in range(30))) for i in range(200)] + [(500, None), (501, " ")])
+    rows = docs.select("doc_id", terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
+    model = learn_topics(rows, 4)
+    got = {r.doc_id: (r.topic, r.terms) for r in rows.select("doc_id", "terms", model.of(F.col("terms")).alias("topic")).collect()}
+    sides = [{got[i][0] for i in range(200) if i % 2 == k} for k in (0, 1)]
+    assert sides[0] and sides[1] and not sides[0] & sides[1]
+    for topic, found in got.values():
+        score = [p + sum(row[t] for t in found) for p, row in zip(model.topics, model.terms)]
+        assert not found and topic == "t0" or score[int(topic[1:])] == pytest.approx(max(score))
+
+
 def test_calibration_hits_the_budget(spark):
     cells = [("a", "x", "t", 10, 0.5), ("b", "x", "t", 1000, 0.3), ("c", "x", "t", 500, 0.2), ("d", "x", "t", 50, 0.0)]
     rows = calibrate(spark.createDataFrame(cells, CELLS + ", weight double"), 0.6).collect()
@@ -48,6 +82,13 @@ def test_whole_table(docs):
     rows = mix(docs).collect()
     assert len(rows) == docs.count()
     assert sum(r.weight for r in rows) == pytest.approx(1, abs=1e-6)
+    sums, weights = defaultdict(int), defaultdict(float)
+    for r in rows:
+        sums[r.source, r.lang, r.topic] += r.n_tokens
+        weights[r.source, r.lang, r.topic] += r.weight
+    want = brute_rake([(*k, n) for k, n in sums.items() if n])
+    assert all(weights[k] == pytest.approx(v, abs=1e-5) for k, v in want.items())
+    assert len({r.topic for r in rows}) > 1
     expected = sum(r.prob * r.n_tokens for r in rows) / sum(r.n_tokens for r in rows)
     assert expected == pytest.approx(0.7, abs=1e-6)
     assert {r.doc_id for r in sample_mix(docs).collect()} == {r.doc_id for r in rows if r.kept}
