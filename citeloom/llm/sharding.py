@@ -62,23 +62,40 @@ def category_levels(rows: DataFrame, column: str, bits: int) -> DataFrame:
     """(column, level): values in order, quantised by the share of rows before them.
 
     It has a row for each distinct value. Nulls count as the empty string.
+    Values are dealt by ranges and summed up inside them; the sums of the
+    ranges before, a row for each partition, are added.
     """
     counts = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    share = F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.sum("_n").over(Window.partitionBy())
-    return counts.select(column, F.floor(share * (1 << bits)).cast("int").alias("_level"))
+    ranged = materialize(counts.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), f"counts-{column}")
+    inside = Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_all")).select("_part", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_start"))
+    whole = ranged.agg(F.sum("_n")).first()[0] or 1
+    placed = ranged.join(F.broadcast(totals), "_part").withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return placed.select(column, F.floor(F.col("_before") / whole * (1 << bits)).cast("int").alias("_level"))
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+def size_level(size: Column, bits: int) -> Column:
+    """The binary logarithm of the size: level 0 up to 511 bytes, one more for each doubling."""
+    return F.greatest(F.least(F.floor(F.log2(size.cast("double"))), F.lit((1 << bits) + 7)) - 8, F.lit(0)).cast("int")
+
+
+def hilbert_shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Places every row of ``docs`` in one of ``n_shards`` runs of the curve.
 
     Axes are the language, the source and the binary logarithm of the size.
-    The order is (curve index, CRC of the text, doc_id), so equal texts with
-    equal metadata are neighbours; runs are cut so that row counts differ by
-    one at most. Returns doc_id, source, lang, size, text_crc32, hilbert,
-    shard, slot. A null text has size 1 and CRC 0; null metadata count as the
-    empty string; repeated rows each get a slot; an empty table gives no rows.
-    Columns of ``docs`` other than those named are not read.
+    The order is (curve index, hash of the text, doc_id); runs are cut so that
+    row counts differ by one at most. Equal texts take the cell of the first
+    of their (lang, source) pairs, whatever their own metadata, so copies are
+    neighbours and in one shard unless a cut falls between them (or there are
+    more of them than a shard holds): at most ``n_shards`` - 1 groups are cut.
+
+    Returns doc_id, source, lang, size, text_crc32, hilbert, shard, slot and
+    the columns named in ``carry``. A null text has size 1 and CRC 0; a very
+    long one counts whole; null metadata are the empty string; a null doc_id
+    comes first among copies; repeated rows each get a slot, in any order
+    among themselves; an empty table gives no rows. Other columns of ``docs``,
+    whatever their names, are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = materialize(
@@ -88,16 +105,20 @@ def hilbert_shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS) ->
             F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("_text"),
+            *carry,
         ),
         "shard-base",
     )
-    top = (1 << bits) - 1
+    own = F.struct("lang", "source")
+    copies = base.groupBy("_text", "size").agg(F.min(own).alias("_first"), F.max(own).alias("_last")).where("_first <> _last").select("_text", "size", "_first")
+    cell = base.join(broadcast_if_small(materialize(copies, "shard-copies")), ["_text", "size"], "left").withColumn("_own", F.coalesce("_first", own))
+    cell = cell.select(*base.columns, F.col("_own.lang").alias("_key_lang"), F.col("_own.source").alias("_key_source"))
     for column in ("source", "lang"):
-        levels = materialize(category_levels(base, column, bits), f"levels-{column}").withColumnRenamed("_level", f"_{column}")
-        base = base.join(broadcast_if_small(levels), column)
-    size = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(top + 8)) - 8
-    cell = base.withColumn("hilbert", hilbert_index([F.col("_lang"), F.col("_source"), F.greatest(size, F.lit(0))], bits)).drop("_lang", "_source")
-    ranked = global_rank(cell, ["hilbert", "text_crc32", "doc_id"], "shard-order")
+        levels = materialize(category_levels(base, column, bits), f"levels-{column}").select(F.col(column).alias(f"_key_{column}"), F.col("_level").alias(f"_{column}"))
+        cell = cell.join(broadcast_if_small(levels), f"_key_{column}")
+    cell = cell.withColumn("hilbert", hilbert_index([F.col("_lang"), F.col("_source"), size_level(F.col("size"), bits)], bits)).select(*base.columns, "hilbert")
+    ranked = global_rank(cell, ["hilbert", "_text", "doc_id"], "shard-order").drop("_text")
     total = ranked.count()
     # Integer arithmetic: shard s begins at place ceil(s * total / n_shards).
     ranked = ranked.withColumn("_s", F.expr(f"_rank * {n_shards} div {max(total, 1)}"))
@@ -105,9 +126,17 @@ def hilbert_shards(docs: DataFrame, n_shards: int = SHARDS, bits: int = BITS) ->
     return ranked.withColumn("shard", F.col("_s").cast("int")).withColumn("slot", (F.col("_rank") - begin).cast("long")).drop("_s", "_rank")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes ``docs`` with one folder for each shard, rows in slot order, for file pruning."""
-    joined = docs.join(placed.select("doc_id", "shard", "slot", "hilbert"), "doc_id")
+def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, bits: int = BITS) -> None:
+    """Writes ``docs`` with one folder for each shard, rows in slot order, for file pruning by language, source and size.
+
+    Every row is written once, with all its columns and hilbert and slot: rows
+    are told apart by a number of their own, so null and repeated ids do no
+    harm. Columns named hilbert, shard or slot are replaced.
+    """
+    kept = docs.drop("hilbert", "shard", "slot").withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(kept, "shard-rows")
+    placed = hilbert_shards(numbered, n_shards, bits, carry=("_row",)).select("_row", "hilbert", "shard", "slot")
+    joined = numbered.join(placed, "_row").drop("_row")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
