@@ -126,9 +126,11 @@ def prefix_trees(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     conv_id, i and start for each turn.
 
     Turns are ordered by (turn, role, text), so that turns with one number
-    have a defined order. Null role or text count as empty; rows with a null
-    conv_id form one conversation; repeated rows are turns of their own; an
-    empty table gives empty tables; other columns are not read.
+    have a defined order. Null role or text count as empty; a null turn comes
+    first; rows with a null conv_id form one conversation; a very long text is
+    one turn and formatted whole; repeated rows are turns of their own; an
+    empty table gives empty tables; other columns, whatever their names, are
+    not read.
 
     Conversations are streamed in sorted order and never held as a whole.
     Distinct turns are aggregated before they are shuffled, so a first turn

@@ -75,9 +75,9 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """(host, n_docs, n_failed, rate, host_failed): failure rates shrunk with an empirical beta prior.
 
     The prior's mean is the rate over all documents of known host; its
-    strength comes from the spread of host rates by the method of moments,
-    between 1 and the mean number of documents of a host. The aggregation
-    combines before it shuffles, so a hot host is no group of rows.
+    strength, 1 at least, comes from the spread of host rates by the method of
+    moments; hosts that differ no more than chance has it get the mean. The
+    aggregation combines before it shuffles, so a hot host is no group of rows.
     """
     hosts = measured.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     hosts = materialize(hosts, "hosts")
@@ -88,9 +88,8 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     spread = hosts.agg(F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - mean, F.lit(2.0)))).first()[0]
     noise = mean * (1 - mean)
     between = (spread - (total.h - 1) * noise) / max(total.n - total.n2 / total.n, 1e-9)
-    most = max(total.n / total.h, 1.0)
-    strength = min(max(noise / between - 1, 1.0), most) if between > 0 else most
-    rate = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
+    strength = max(noise / between - 1, 1.0) if between > 0 else None
+    rate = F.lit(mean) if strength is None else (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
     return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > limit)
 
 
@@ -99,8 +98,10 @@ def host_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
     kept is false if the document fails a base rule, or if its host fails. A
     null source is no host: only the base rules decide. Null and empty texts
-    have no words and fail. Repeated rows each count; an empty table gives no
-    rows; columns other than doc_id, source and text are not read.
+    have no words and fail; very long ones are measured whole. A host whose
+    rate is exactly the limit stays. Repeated rows and null ids each count; an
+    empty table gives no rows; columns other than doc_id, source and text,
+    whatever their names, are not read.
     """
     measured = materialize(rule_failures(docs), "rule-failures")
     hosts = host_verdicts(measured, limit).select("host", F.col("rate").alias("host_rate"), "host_failed")
@@ -143,11 +144,11 @@ WITH d AS (
 ), sp AS (
   SELECT sum(h.n * (h.k / h.n - tot.mean) ** 2) AS s FROM h, tot
 ), par AS (
-  SELECT mean, n / h AS most, (s - (h - 1) * mean * (1 - mean)) / greatest(n - n2 / n, 1e-9) AS b FROM tot, sp
+  SELECT mean, (s - (h - 1) * mean * (1 - mean)) / greatest(n - n2 / n, 1e-9) AS b FROM tot, sp
 ), pri AS (
-  SELECT mean, CASE WHEN b > 0 THEN least(greatest(mean * (1 - mean) / b - 1, 1), greatest(most, 1)) ELSE greatest(most, 1) END AS a FROM par
+  SELECT mean, CASE WHEN b > 0 THEN greatest(mean * (1 - mean) / b - 1, 1) END AS a FROM par
 ), v AS (
-  SELECT host, (k + mean * a) / (n + a) AS host_rate FROM h, pri
+  SELECT host, CASE WHEN a IS NULL THEN mean ELSE (k + mean * a) / (n + a) END AS host_rate FROM h, pri
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,

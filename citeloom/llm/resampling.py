@@ -112,8 +112,9 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     Gumbel noise; the ceil(share * rows) largest keys are kept, which samples
     that many rows without replacement in proportion to their weights. share
     defaults to the share of quality 1 among the labelled rows (1 without any).
-    Null and empty texts have no features and weight 0 (a ratio of 1); ties
-    are broken by doc_id; repeated rows are ranked each; without a target
+    Null and empty texts have no features and weight 0 (a ratio of 1); very
+    long texts count whole, in pieces; ties are broken by doc_id, nulls first;
+    repeated rows are ranked each; without a target
     every ratio is 1; an empty table gives no rows. Of ``docs``, only doc_id and
     text are read, of ``labels`` doc_id, quality and toxic (nulls: not in the
     target).

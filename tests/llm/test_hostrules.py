@@ -48,6 +48,12 @@ def test_shrunk_rates(spark):
     assert got["good"].rate == pytest.approx(0.05, abs=0.03)
 
 
+def test_hosts_alike_shrink_to_the_mean(spark):
+    rows = [(f"h{i}", k < 3) for i in range(20) for k in range(10)]
+    got = host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()
+    assert {round(r.rate, 9) for r in got} == {0.3} and not any(r.host_failed for r in got)
+
+
 def test_edges(make_docs):
     long = " ".join(f"w{i}" for i in range(60))
     bad = [(100 + i, "x " * 60, "en", "junk") for i in range(30)]

@@ -1,8 +1,10 @@
 import math
+import struct
 from collections import Counter
 from zlib import crc32
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from citeloom.llm.resampling import BUCKETS, SMOOTHING, features, fit, importance_resample, log_weights
@@ -52,6 +54,21 @@ def test_selection(spark):
     assert sum(good) / len(good) > 0.9 > 0.3 > sum(poor) / max(len(poor), 1)
 
 
+def brute_gumbel(doc_id, seed=11):
+    first = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), first)
+    return -math.log(-math.log(((h >> 12) + 0.5) / (1 << 52)))
+
+
+def test_keys_and_order_against_brute_force(spark, sf, docs):
+    rows = importance_resample(docs, spark.read.parquet(f"{sf}/labels.parquet"), 0.3).collect()
+    want = {r.doc_id: r.log_weight + brute_gumbel(r.doc_id) for r in rows}
+    assert all(r.key == pytest.approx(want[r.doc_id], abs=1e-9) for r in rows)
+    order = sorted(want, key=lambda d: (-want[d], d))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.rank)] == order
+    assert {r.doc_id for r in rows if r.kept} == set(order[: math.ceil(0.3 * len(order))])
+
+
 def test_pieces(monkeypatch):
     text = b"A b c d e f g h"
     whole = Counter(x for f in features(text, dict_ids()) for x in f.tolist())
