@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths handed out and not removed yet, by application.
+_PATHS: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,14 +31,38 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate tables; DataFrames that still read them can no longer be evaluated."""
+    handed_out = _PATHS.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in handed_out:
+            handed_out.remove(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables that are written inside."""
+    before = set(_PATHS.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_scratch(spark, *[p for p in _PATHS.get(spark.sparkContext.applicationId, []) if p not in before])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a scan of the files.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation,
-    and values that depend on task order are fixed from then on.
+    and values that depend on task order are fixed from then on. The files
+    stay until ``drop_scratch`` or the end of a ``scratch_scope``, as the scan
+    is lazy.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
