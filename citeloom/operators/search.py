@@ -56,7 +56,9 @@ def knn(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Queries come in blocks of QUERY_BLOCK, one matrix product for each block
     and batch of rows. A task keeps its best k works of each query, so what is
-    shuffled is k rows for each query and task.
+    shuffled is k rows for each query and task. Null vectors, and vectors of
+    another length than the query's, are like nothing and not found; a null
+    query finds nothing.
     """
     ship_package(embeddings.sparkSession)
     sc = embeddings.sparkSession.sparkContext
@@ -73,8 +75,11 @@ def knn(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for b in batches:
                 for at in range(0, b.num_rows, ROW_BLOCK):
                     part = b.slice(at, ROW_BLOCK)
-                    works = part.column(0).to_pylist()
-                    v = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(works), -1)
+                    held = [(w, v) for w, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if v is not None and len(v) == unit.shape[1] and None not in v]
+                    if not held:
+                        continue
+                    works = [w for w, _ in held]
+                    v = np.array([v for _, v in held], dtype=np.float64)
                     score = unit @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
                     for i in range(len(ids)):
                         own = top[i]
@@ -89,7 +94,10 @@ def knn(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return rows.mapInArrow(best, "query_id long, work_id string, similarity double")
 
-    for q in queries.select("query_id", "vector").toLocalIterator():
+    known = queries.select("query_id", "vector").where("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)")
+    for q in known.orderBy(F.size("vector")).toLocalIterator():
+        if block and len(q.vector) != len(block[0].vector):  # a block has vectors of one length
+            found, block = run(block) if found is None else found.union(run(block)), []
         block.append(q)
         if len(block) == QUERY_BLOCK:
             found, block = run(block) if found is None else found.union(run(block)), []
@@ -123,9 +131,10 @@ def chunk_papers(papers: DataFrame, text: str = "narrative_abstract", size: int
     return c.select(F.concat_ws(":", "work_id", F.col("chunk_index").cast("string")).alias("embedding_id"), "work_id", "chunk_index", "chunk_text")
 
 
-def unembedded(papers: DataFrame) -> DataFrame:
-    """The queue of works with a text and no embedding."""
-    return papers.where("embedded_at IS NULL AND narrative_abstract IS NOT NULL")
+def unembedded(papers: DataFrame, limit: int | None = None) -> DataFrame:
+    """The queue of works with a text and no embedding; with ``limit``, its first works by synced_at, nulls first, then id."""
+    queue = papers.where("embedded_at IS NULL AND narrative_abstract IS NOT NULL")
+    return queue if limit is None else queue.orderBy(F.asc_nulls_first("synced_at"), "work_id").limit(limit)
 
 
 def refresh_embeddings(papers: DataFrame, embeddings: DataFrame, make: Callable[[], Callable], now: Column) -> tuple[DataFrame, DataFrame]:

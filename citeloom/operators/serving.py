@@ -17,7 +17,7 @@ from citeloom.fixed import NO_COLLECTION, NOT_OWNER
 from citeloom.operators import folds, graph
 from citeloom.operators import search as searching
 from citeloom.plans.medallion import gold_topic_rollups
-from citeloom.schemas import PROGRESS_STATES, TABLES
+from citeloom.schemas import GOAL_STATES, PROGRESS_STATES, TABLES
 
 DETAIL = "work_id title foundational_score sequence_rank added_at".split()
 
@@ -192,6 +192,29 @@ class Library:
         self.t["collection_papers"] = folds.save_plan(self.t["collection_papers"], path)
         return {"path": path}
 
+    def _changed(self, table: str, key: str, value: int, **new) -> dict:
+        """Sets columns of one own row, and the time of its last change."""
+        rows = self.t[table]
+        mine = (F.col(key) == value) & (F.col("user_id") == self.user)
+        if rows.where(mine).isEmpty():
+            return {"error": f"{key} {value} does not exist"}
+        types = dict(rows.dtypes)
+        self.t[table] = rows.withColumns({c: F.when(mine, F.lit(v).cast(types[c])).otherwise(F.col(c)) for c, v in (new | {"updated_at": self.now}).items()})
+        return {"ok": True}
+
+    def update_goal(self, goal_id: int, status: str | None = None, title: str | None = None, description: str | None = None) -> dict:
+        if status is not None and status not in GOAL_STATES:
+            return {"error": f"status must be one of {', '.join(GOAL_STATES)}"}
+        if title is not None and not title.strip():
+            return {"error": "the title is blank"}
+        given = {"status": status, "title": title, "description": description}
+        return self._changed("learning_goals", "goal_id", goal_id, **{k: v for k, v in given.items() if v is not None})
+
+    def update_note(self, note_id: int, note_text: str) -> dict:
+        if not (note_text or "").strip():
+            return {"error": "the note is blank"}
+        return self._changed("notes", "note_id", note_id, note_text=note_text)
+
     def delete_goal(self, goal_id: int) -> None:
         self.t["learning_goals"] = self.t["learning_goals"].where(F.col("goal_id") != goal_id)
         self.t["collections"] = folds.set_null(self.t["collections"], self.t["learning_goals"], "goal_id")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.fixed import SEND_ROWS
+from citeloom.functions.vectors import vector_literal
 from citeloom.operators.folds import add_missing, upsert, upsert_papers
 from citeloom.shipping import ship_package
 
@@ -46,6 +47,12 @@ def read_version(spark: SparkSession, root: str, name: str, version: int) -> Dat
     return spark.read.parquet(f"{root}/{name}/version={version}")
 
 
+def send_embeddings(embeddings: DataFrame, connect: Callable[[], Callable[[list[tuple]], None]], size: int = SEND_ROWS) -> None:
+    """Sends (embedding_id, work_id, chunk_index, chunk_text, literal) to a store that takes vectors as literals; null vectors as null."""
+    rows = embeddings.select("embedding_id", "work_id", "chunk_index", "chunk_text", vector_literal(F.col("embedding")).alias("literal"))
+    send_in_batches(rows, connect, size)
+
+
 def send_in_batches(df: DataFrame, connect: Callable[[], Callable[[list[tuple]], None]], size: int = SEND_ROWS) -> None:
     """Sends rows from the executors, ``size`` at a time; no row passes the driver.
 

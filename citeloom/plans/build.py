@@ -52,4 +52,4 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def warned(works: DataFrame) -> DataFrame:
     """Counts of the gates that only warn."""
-    return gates.gate_metrics(works, {k: F.expr(v) for k, v in gates.WARN_GATES.items()})
+    return gates.gate_metrics(works, gates.warn_gates())

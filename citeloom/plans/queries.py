@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom.fixed import PER_TOPIC
 from citeloom.functions import text as tx
 from citeloom.functions.vectors import hashing_embedder
 from citeloom.operators import folds, graph, search, snowball, sync
@@ -18,7 +19,7 @@ from citeloom.sources.records import write_jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-K, PER_TOPIC = 10, 5
+K = 10
 
 
 def query(sql: str | None):
@@ -58,8 +59,7 @@ def silver_works(spark, sf):
   UNION ALL SELECT 'has_citations', e, n - e FROM g""")
 def gate_metrics(spark, sf):
     rows = medallion.cleaned_works(fx.raw_works(spark, sf, refs=True), F.col("abstract"))
-    every = gates.works_gates(fx.THIS_YEAR) | {k: F.expr(v) for k, v in gates.WARN_GATES.items()}
-    return gates.gate_metrics(rows, every)
+    return gates.gate_metrics(rows, gates.works_gates(fx.THIS_YEAR) | gates.warn_gates())
 
 
 @query("""SELECT 'T' || p_partkey AS topic_id, p_name AS display_name, p_brand AS domain, p_type AS field, 'size ' || p_size AS subfield,
@@ -240,17 +240,24 @@ def unembedded_queue(spark, sf):
     return search.unembedded(papers).select("work_id", F.length("narrative_abstract").alias("n_chars"))
 
 
+@query(f"WITH {fx.WORKS_SQL} SELECT work_id, CAST(synced_at AS BIGINT) AS synced_at FROM (SELECT work_id, cited_by_count % 10 AS synced_at FROM works WHERE work_id NOT IN (SELECT 'W' || (vec_id // 2) FROM embeddings)) ORDER BY synced_at, work_id LIMIT 200")
+def unembedded_batch(spark, sf):
+    done = fx.chunk_vectors(spark, sf).select("work_id", F.lit(1).alias("embedded_at")).distinct()
+    papers = fx.works(spark, sf).select("work_id", "narrative_abstract", (F.col("cited_by_count") % 10).alias("synced_at")).join(done, "work_id", "left")
+    return search.unembedded(papers, 200).select("work_id", "synced_at")
+
+
 @query(f"""WITH {_CHUNKS_SQL.format(source="(SELECT * FROM documents WHERE 'W' || doc_id NOT IN (SELECT 'W' || (vec_id // 2) FROM embeddings))")}
-  SELECT 'W' || (vec_id // 2) || ':' || (vec_id % 2) AS embedding_id, 64 AS dims, 1.0::DOUBLE AS norm FROM embeddings
-  UNION ALL SELECT work_id || ':' || k, 64, 1.0 FROM chunks""")
+  SELECT 'W' || (vec_id // 2) || ':' || (vec_id % 2) AS embedding_id, md5('') AS chunk_md5, 64 AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings
+  UNION ALL SELECT work_id || ':' || k, md5(piece), 64, NULL FROM chunks""")
 def refresh_embeddings(spark, sf):
     vectors = fx.chunk_vectors(spark, sf).select(F.concat_ws(":", "work_id", F.col("chunk_index").cast("string")).alias("embedding_id"), "work_id", "chunk_index", F.lit("").alias("chunk_text"), "embedding")
     done = vectors.select("work_id", F.lit("2024-01-01").cast("timestamp").alias("embedded_at")).distinct()
     docs = fx.table(spark, sf, "documents").select(F.concat(F.lit("W"), "doc_id").alias("work_id"), F.col("text").alias("narrative_abstract"))
     now = F.lit("2025-01-01").cast("timestamp")
     new, _ = search.refresh_embeddings(docs.join(done, "work_id", "left"), vectors, hashing_embedder, now)
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    return new.select("embedding_id", F.size("embedding").alias("dims"), F.round(length, 3).alias("norm"))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4)  # of the vectors that were there
+    return new.select("embedding_id", F.md5("chunk_text").alias("chunk_md5"), F.size("embedding").alias("dims"), F.when(F.col("chunk_text") == "", total).alias("total"))
 
 
 # Graph -------------------------------------------------------------------
@@ -462,21 +469,41 @@ def cascades(spark, sf):
     return folds.set_null(folds.cascade(rows, events, "user_id"), events.select(F.col("event_id").alias("goal_id")), "goal_id")
 
 
-@query(f"""WITH {fx.AUTHORS_SQL.replace(fx.WORKS_SQL, fx.EDGES_SQL)}, half AS (SELECT * FROM works WHERE seed_topic < 'src5'), b AS (SELECT DISTINCT work_id, author_id FROM authorship)
-  SELECT 'papers' AS table_name, count(*) AS n FROM works UNION ALL SELECT 'authors', count(DISTINCT author_id) FROM authorship
-  UNION ALL SELECT 'paper_authors', count(*) FROM b
-  UNION ALL SELECT 'citation_edges', (SELECT count(*) FROM graph) + (SELECT count(*) FROM half)""")
-def sync_counts(spark, sf):
+def _synced(spark, sf):
+    """Gold tables on top of served ones that have half of the works, old names, and edges that are no more."""
     b = fx.base(spark, sf)
     works, papers = fx.works(spark, sf, authors=True), fx.scored_papers(b)
-    papers = papers.withColumn("narrative_abstract", F.lit("x")).withColumn("payload", F.lit("{}"))
+    papers = papers.withColumn("narrative_abstract", F.concat(F.lit("x "), "title")).withColumn("payload", F.lit("{}"))
     gold = {"papers": papers, "authors": medallion.silver_authors(works), "paper_authors": medallion.silver_paper_authors(works), "citation_edges": fx.graph(b)}
     served = papers.where("seed_topic < 'src5'").withColumn("synced_at", F.lit(0)).withColumn("embedded_at", F.lit(0))
+    served = served.withColumn("narrative_abstract", F.when(F.col("is_oa"), F.col("narrative_abstract")).otherwise("before"))
+    gone = served.where("is_oa").withColumn("work_id", F.concat(F.lit("old"), "work_id"))
     stale = served.select(F.concat(F.lit("old"), "work_id").alias("citing_work_id"), F.col("work_id").alias("cited_work_id"))
     mine = served.select("work_id")
-    authorship = gold["paper_authors"].join(mine, "work_id", "left_semi")
-    current = {"papers": served, "authors": gold["authors"].join(authorship, "author_id", "left_semi"), "paper_authors": authorship, "citation_edges": stale}
-    return sync.counts(sync.sync(current, gold, F.lit(1)))
+    authorship = gold["paper_authors"].join(mine, "work_id", "left_semi").withColumn("author_position", F.lit(-1))
+    authors = gold["authors"].join(authorship, "author_id", "left_semi").withColumn("display_name", F.lit("before"))
+    current = {"papers": served.unionByName(gone), "authors": authors, "paper_authors": authorship, "citation_edges": stale}
+    return sync.sync(current, gold, F.lit(1))
+
+
+@query(f"""WITH {fx.EDGES_SQL}
+  SELECT work_id, title, cited_by_count, score AS foundational_score, seed_topic, 'x ' || title AS narrative_abstract, 1 AS synced_at, CASE WHEN seed_topic < 'src5' AND is_oa THEN 0 END AS embedded_at FROM metrics
+  UNION ALL SELECT 'old' || work_id, title, cited_by_count, score, seed_topic, 'x ' || title, 0, 0 FROM metrics WHERE seed_topic < 'src5' AND is_oa""")
+def sync_papers(spark, sf):
+    columns = "work_id title cited_by_count foundational_score seed_topic narrative_abstract synced_at embedded_at".split()
+    return _synced(spark, sf)["papers"].select(*columns)
+
+
+@query(f"WITH {fx.EDGES_SQL} SELECT citing AS citing_work_id, cited AS cited_work_id FROM graph UNION ALL SELECT 'old' || work_id, work_id FROM works WHERE seed_topic < 'src5'")
+def sync_edges(spark, sf):
+    return _synced(spark, sf)["citation_edges"]
+
+
+@query(f"""WITH {fx.AUTHORS_SQL} SELECT work_id, a.author_id, min(author_position) AS author_position, any_value(d.display_name) AS display_name
+  FROM authorship a JOIN (SELECT author_id, min(display_name) AS display_name FROM authorship GROUP BY author_id) d ON a.author_id = d.author_id GROUP BY work_id, a.author_id""")
+def sync_authorships(spark, sf):
+    t = _synced(spark, sf)
+    return t["paper_authors"].join(t["authors"].select("author_id", "display_name"), "author_id").select("work_id", "author_id", "author_position", "display_name")
 
 
 # Corpus construction and ingestion ------------------------------------------
@@ -528,6 +555,11 @@ def stream_ingest(spark, sf):
     return bronze.groupBy(F.col("_seed_topic").alias("seed_topic")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("works"), F.count("_corrupt_record").alias("corrupt"))
 
 
+def _built(spark, sf):
+    raw = fx.raw_works(spark, sf, refs=True, authors=True)
+    return build.build(spark, raw, None, scratch_path(spark, "build"), fx.THIS_YEAR, F.col("abstract"))
+
+
 @query(f"""WITH {fx.AUTHORS_SQL.replace(fx.WORKS_SQL, fx.EDGES_SQL)}, b AS (SELECT DISTINCT work_id, author_id FROM authorship)
   SELECT 'silver_works' AS table_name, count(*) AS n FROM works UNION ALL SELECT 'silver_authors', count(DISTINCT author_id) FROM authorship
   UNION ALL SELECT 'silver_paper_authors', count(*) FROM b UNION ALL SELECT 'silver_citation_edges', count(*) FROM edges
@@ -535,5 +567,47 @@ def stream_ingest(spark, sf):
   UNION ALL SELECT 'gold_topic_rollups', count(DISTINCT seed_topic) FROM works UNION ALL SELECT 'gold_author_metrics', count(DISTINCT author_id) FROM authorship
   UNION ALL SELECT 'gold_papers_for_serving', count(*) FROM works""")
 def build_counts(spark, sf):
-    raw = fx.raw_works(spark, sf, refs=True, authors=True)
-    return build.table_counts(build.build(spark, raw, None, scratch_path(spark, "build"), fx.THIS_YEAR, F.col("abstract")))
+    return build.table_counts(_built(spark, sf))
+
+
+@query(f"""WITH {fx.EDGES_SQL} SELECT m.work_id, title, m.score AS foundational_score, in_degree AS in_corpus_in_degree, md5(abstract) AS abstract_md5, coalesce(n, 0) AS n_cited
+  FROM metrics m LEFT JOIN (SELECT citing AS work_id, count(*) AS n FROM graph GROUP BY citing) USING (work_id)""")
+def build_papers(spark, sf):
+    t = _built(spark, sf)
+    cites = t["gold_citation_graph"].groupBy(F.col("citing_work_id").alias("work_id")).agg(F.count("*").alias("n_cited"))
+    rows = t["gold_papers_for_serving"].join(t["gold_paper_metrics"].select("work_id", "in_corpus_in_degree"), "work_id").join(cites, "work_id", "left")
+    return rows.select("work_id", "title", F.round("foundational_score", 6).alias("foundational_score"), "in_corpus_in_degree", F.md5("narrative_abstract").alias("abstract_md5"), F.coalesce("n_cited", F.lit(0)).alias("n_cited"))
+
+
+@query("""SELECT 'T' || p_partkey AS topic_id, p_name AS display_name, p_brand AS field, 'snapshot_dim' AS _source FROM part""")
+def topics_ingest(spark, sf):
+    from citeloom.streaming.ingest import ingest_topics
+
+    path = scratch_path(spark, "topics")
+    ref = F.struct(F.lit(None).cast("string").alias("id"), F.col("p_brand").alias("display_name"))
+    fx.table(spark, sf, "part").select(F.concat(F.lit("https://topics.example/T"), "p_partkey").alias("id"), F.col("p_name").alias("display_name"), ref.alias("field")).write.json(f"{path}/in")
+    for _ in range(2):  # a second run finds nothing new
+        bronze = ingest_topics(spark, f"{path}/in", f"{path}/bronze", f"{path}/progress")
+    return medallion.silver_topics_dim(bronze).join(bronze.select(tx.short_id("id").alias("topic_id"), "_source"), "topic_id").select("topic_id", "display_name", "field", "_source")
+
+
+@query(f"WITH {_SNOWBALL_SQL} SELECT work_id, title, topic AS _seed_topic, ball.hop AS _hop FROM ball JOIN works USING (work_id)")
+def harvest_records(spark, sf):
+    w = fx.base(spark, sf)
+    records = w.select(F.col("work_id").alias("id"), F.col("title").alias("display_name"), F.col("seed_topic").alias("_topic"), "cited_by_count", "referenced_works")
+    return snowball.harvest(records, PER_TOPIC).select(F.col("id").alias("work_id"), F.col("display_name").alias("title"), "_seed_topic", "_hop")
+
+
+@query(f"WITH {fx.WORKS_SQL} SELECT work_id, title FROM works WHERE work_id IN (SELECT 'W' || l_partkey FROM lineitem WHERE l_quantity < 3)")
+def resolve_ids(spark, sf):
+    asked = fx.table(spark, sf, "lineitem").where("l_quantity < 3").select(F.concat(F.lit("W"), "l_partkey").alias("work_id"))
+    return snowball.resolve_ids(fx.light_works(spark, sf).select("work_id", "title"), asked)
+
+
+_PAYLOAD_SQL = """'{"id":"https://works.example/' || work_id || '","display_name":' || CAST(to_json(title) AS VARCHAR) || ',"primary_topic":{"subfield":{},"field":{' ||
+  coalesce('"display_name":' || CAST(to_json(field) AS VARCHAR), '') || '},"domain":{"display_name":"' || domain || '"}},"open_access":{"is_oa":' || is_oa || '}}'"""
+
+
+@query(f"WITH {fx.WORKS_SQL} SELECT work_id, {_PAYLOAD_SQL} AS payload FROM works")
+def work_payloads(spark, sf):
+    return fx.works(spark, sf).select("work_id", "payload")

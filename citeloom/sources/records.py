@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,23 +12,56 @@ CORRUPT = "_corrupt_record"
 RESCUED = "_rescued_data"
 
 
+_PLACED = "array<struct<path:string,value:string>>"
+
+
+def _beyond(text: Column, kind: T.DataType) -> Column:
+    """array<struct<path, value>>: what a JSON text holds beyond its type, at any depth; path like ``.a[0].b``."""
+    none = F.array().cast(_PLACED)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        inside = F.transform(F.from_json(text, "array<string>"), lambda e, i: _below(F.concat(F.lit("["), i.cast("string"), F.lit("]")), _beyond(e, kind.elementType)))
+        return F.coalesce(F.flatten(inside), none)
+    if not isinstance(kind, T.StructType):
+        return none
+
+    def of(entries: Column) -> Column:
+        known = F.array(*[F.lit(f.name) for f in kind.fields])
+        own = F.transform(F.filter(entries, lambda x: ~F.array_contains(known, x["key"])), lambda x: F.struct(F.concat(F.lit("."), x["key"]).alias("path"), x["value"].alias("value")))
+        parts = [F.coalesce(own, none)]
+        for f in kind.fields:
+            if isinstance(f.dataType, (T.StructType, T.ArrayType)):
+                value = F.get(F.filter(entries, _is(f.name)), F.lit(0))["value"]
+                parts.append(_below(F.lit(f".{f.name}"), _beyond(value, f.dataType)))
+        return F.concat(*parts)
+
+    return F.coalesce(F.get(F.transform(F.array(F.map_entries(F.from_json(text, "map<string,string>"))), of), F.lit(0)), none)
+
+
+def _is(name: str):
+    return lambda x: x["key"] == F.lit(name)
+
+
+def _below(place: Column, found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(F.concat(place, x["path"]).alias("path"), x["value"].alias("value")))
+
+
 def parse_records(lines: DataFrame, schema: str) -> DataFrame:
     """Records from a column ``value`` of JSON lines, batch or stream.
 
-    Fields that the schema does not name go to ``_rescued_data`` (JSON of the
-    unknown top-level fields), a value of the wrong type leaves its field null
-    and the line in ``_corrupt_record``. Blank lines are no records.
+    Fields that the schema does not name, at any depth, go to
+    ``_rescued_data`` (JSON: place in the record, like ``authorships[0].x``,
+    to value), a value of the wrong type leaves its field null and the line in
+    ``_corrupt_record``. Blank lines are no records.
     """
     fields = T.StructType.fromDDL(schema).fields
     with_corrupt = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    known = F.array(*[F.lit(f.name) for f in fields])
     rows = lines.where(F.length(F.trim("value")) > 0)
     parsed = F.from_json("value", with_corrupt, options)
-    every = F.from_json("value", "map<string,string>")
-    unknown = F.map_filter(every, lambda k, v: ~F.array_contains(known, k))
+    beyond = _beyond(F.col("value"), T.StructType(fields))
+    unknown = F.map_from_entries(F.transform(F.array_distinct(beyond), lambda x: F.struct(F.substring(x["path"], 2, 1 << 30).alias("key"), x["value"].alias("value"))))
     more = [c for c in rows.columns if c != "value"]
-    out = rows.select(*more, parsed.alias("r"), F.when(F.size(unknown) > 0, F.to_json(unknown)).alias(RESCUED))
+    out = rows.select(*more, parsed.alias("r"), F.when(F.size(beyond) > 0, F.to_json(unknown)).alias(RESCUED))
     return out.select("r.*", RESCUED, *more)
 
 

@@ -1,4 +1,5 @@
 import json
+import math
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ def test_rescue_and_quarantine(spark):
     rows = works_from(spark, [record(1, extra={"a": 1}), record(2, publication_year="x"), "{broken", "", record(3)]).collect()
     by = {r.id and r.id[-1]: r for r in rows}
     assert len(rows) == 4 and json.loads(by["1"]._rescued_data) == {"extra": '{"a":1}'} and by["1"]._corrupt_record is None
+    nested = works_from(spark, [record(1, authorships=[{"author": {"id": "A1", "age": 9}}, {"author": None, "new": [1], "institutions": [{"id": "I"}, {"id": "J", "city": {"x": 1}}]}], primary_topic={"field": {"id": "F", "why": "w"}, "score": 1}, open_access="odd")]).first()
+    assert json.loads(nested._rescued_data) == {"authorships[0].author.age": "9", "authorships[1].new": "[1]", "authorships[1].institutions[1].city": '{"x":1}', "primary_topic.field.why": "w"}
     assert by["2"].publication_year is None and by["2"].display_name == "title 2" and by["2"]._corrupt_record
     assert by[None]._corrupt_record == "{broken" and by["3"]._rescued_data is None
 
@@ -127,6 +130,32 @@ def test_constraints(spark):
     assert [r.work_id for r in gates.valid(rows, CONSTRAINTS["papers"]).collect()] == ["a"]
 
 
+def test_owner_check(spark):
+    requests = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "a"), (2, None), (3, "a"), (None, "a")], "collection_id int, user_id string")
+    owned = spark.createDataFrame([(1, "a"), (2, None)], "collection_id int, user_id string")
+    got = {(r.collection_id, r.user_id): r.verdict for r in gates.with_owner_check(requests, owned).collect()}
+    assert got == {(1, "a"): "ok", (1, "b"): "denied", (1, None): "denied", (2, "a"): "denied", (2, None): "denied", (3, "a"): "missing", (None, "a"): "missing"}
+
+
+def test_score_of_odd_impacts(spark):
+    rows = spark.createDataFrame([(1, 2, 0.5), (0, 0, None), (0, 0, float("nan"))], "in_corpus_in_degree int, cited_by_count int, fwci double")
+    a, b, c = [r.s for r in rows.select(medallion.foundational_score().alias("s")).collect()]
+    assert abs(a - (3 * math.log(2) + math.log(3) + 0.5)) < 1e-12 and b == 0 and math.isnan(c)
+
+
+def test_vectors_that_are_missing(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [0.0, 1.0]), ("e", [None, 1.0])], "work_id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [2.0]), (4, [])], "query_id long, vector array<float>")
+    got = {(r.query_id, r.work_id) for r in search.knn(vectors, queries, 5).collect()}
+    assert got == {(1, "a"), (1, "d"), (3, "c")}
+    assert search.knn(vectors, queries.where("query_id = 2"), 5).collect() == []
+
+
+def test_queue_in_order(spark):
+    papers = spark.createDataFrame([("a", "t", 3, None), ("b", "t", None, None), ("c", "t", 1, None), ("d", None, 0, None), ("e", "t", 0, 1), ("f", "t", 1, None)], "work_id string, narrative_abstract string, synced_at int, embedded_at int")
+    assert [r.work_id for r in search.unembedded(papers, 3).collect()] == ["b", "c", "f"] and search.unembedded(papers).count() == 4
+
+
 def test_search_filters_before_top_k(spark):
     papers = spark.createDataFrame([(f"w{i}", f"t{i}", 2000 + i if i else None, "f" if i % 2 else "g", "d", 1, 1.0, i % 3 == 0, None, "s") for i in range(8)], "work_id string, title string, publication_year int, primary_topic_field string, primary_topic_domain string, cited_by_count int, foundational_score double, is_oa boolean, oa_url string, seed_topic string")
     vectors = spark.createDataFrame([(f"w{i}", [float(i), 1.0 + c]) for i in range(8) for c in range(2)], "work_id string, embedding array<float>")
@@ -179,6 +208,11 @@ def test_library(spark):
     other = Library(spark, "you", lib.t)
     assert "not authorized" in other.add_to_collection(1, "w1")["error"] and "not authorized" in other.get_collection(1, check_owner=True)["error"] and "papers" in other.get_collection(1)
     assert lib.remove_from_collection(1, "w1") == {"ok": True} and lib.get_collection(1)["papers"].count() == 2
+    later = Library(spark, "me", lib.t, clock=F.lit("2025-05-05").cast("timestamp"))
+    assert later.update_goal(1, status="paused") == later.update_note(1, "more") == {"ok": True}
+    assert "error" in later.update_goal(1, status="odd") and "error" in later.update_goal(9) and "error" in later.update_note(1, " ") and "error" in Library(spark, "you", lib.t).update_note(1, "x")
+    goal, note = later.goals().first(), later.notes().first()
+    assert (goal.status, goal.title, note.note_text) == ("paused", "g", "more") and goal.updated_at == note.updated_at > goal.created_at == note.created_at
     lib.delete_goal(1)
     assert lib.t["collections"].first().goal_id is None
     assert lib.delete_collection(1) == {"ok": True} and lib.t["collection_papers"].count() == 0 and lib.notes().first().collection_id is None
@@ -209,6 +243,8 @@ def test_sync_versions_and_batches(spark, tmp_path):
         return send
 
     sync.send_in_batches(spark.range(25).repartition(2), connect, 10)
+    got = sync.send_embeddings(spark.createDataFrame([("a:0", "a", 0, "t", [0.5])], "embedding_id string, work_id string, chunk_index int, chunk_text string, embedding array<float>"), lambda: print)
+    assert got is None
     files = [p.read_text().split("\n") for p in (tmp_path / "sent").iterdir()]
     assert max(map(len, files)) <= 10 and sorted(int(x) for f in files for x in f) == list(range(25))
     spark.conf.set("citeloom.per_topic", "7")
