@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import broadcast_if_small, materialize, table
+from citeloom.llm.common import broadcast_if_small, let, materialize, table
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -18,11 +18,6 @@ WORDS = r"[\p{L}\p{M}\p{N}]+"
 FILTER_BITS, FILTER_WORDS = 16, 1 << 17
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once: lambdas would compute what they mention anew for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """Lower-case runs of letters, marks and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
@@ -39,7 +34,7 @@ def _shingles(w: Column, width: int, keep: Callable[[Column], Column] | None = N
     def spelt(x: Column) -> Column:
         return F.struct(x["h"].alias("h"), F.concat_ws(" ", *[F.get(w, x["i"] + j) for j in range(width)]).alias("s"))
 
-    return F.transform(_let(F.transform(w, lambda x: F.xxhash64(x)), hashed), spelt)
+    return F.transform(let(F.transform(w, lambda x: F.xxhash64(x)), hashed), spelt)
 
 
 def _widths(least_words: int, width: int) -> range:
@@ -145,7 +140,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINME
         return F.struct(F.size(w).alias("n_words"), F.array_distinct(F.concat(*[F.coalesce(of(k), none) for k in _widths(least_words, width)])).alias("found"))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("v"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    taken = texts.select("doc_id", "v", _let(words(F.col("text")), parts).alias("p")).where("size(p.found) > 0")
+    taken = texts.select("doc_id", "v", let(words(F.col("text")), parts).alias("p")).where("size(p.found) > 0")
     taken = materialize(taken.select("doc_id", "v", "p.n_words", "p.found"), "bench-found")
     probes = taken.select("doc_id", "v", "n_words", F.inline("found"))
     hits = probes.drop("s").join(broadcast_if_small(signature), ["width", "h"]).where(F.col("n_words") - F.col("width") + 1 >= F.col("least"))

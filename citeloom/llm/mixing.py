@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import broadcast_if_small, materialize, table
+from citeloom.llm.common import broadcast_if_small, let, materialize, table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: the marginals of the cells with their tokens to this power.
@@ -25,11 +25,6 @@ SEED = 7
 TOPICS, TERMS, LEARNING_ROUNDS = 6, 512, 3
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once: lambdas would compute what they mention anew for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _words(text: Column) -> Column:
     """Runs without ASCII white space; an empty string may stand at the ends."""
     return F.split(text, r"[\x20\x09-\x0D]+")
@@ -66,7 +61,7 @@ class Topics:
                 out = F.when(s[names[k]] == most, f"t{k}").otherwise(out)
             return F.when(F.size(found) > 0, out).otherwise(F.lit("t0"))
 
-        return _let(scores, best)
+        return let(scores, best)
 
 
 def learn_topics(rows: DataFrame, n: int = TOPICS) -> Topics:
@@ -87,7 +82,7 @@ def learn_topics(rows: DataFrame, n: int = TOPICS) -> Topics:
     for _ in range(LEARNING_ROUNDS):
         seen = F.concat("terms", F.array(F.lit(TERMS)))  # beyond the last term: the documents themselves
         # Inside the array, so that a topic is found once a document and not once a term.
-        pairs = _let(topic, lambda k: F.transform(seen, lambda t: F.named_struct(F.lit("topic"), k, F.lit("t"), t)))
+        pairs = let(topic, lambda k: F.transform(seen, lambda t: F.named_struct(F.lit("topic"), k, F.lit("t"), t)))
         counts = rows.select(F.inline(pairs)).groupBy("topic", "t").agg(F.count("*").alias("n")).collect()  # n * (TERMS + 1) rows at most
         table_, sizes = [[0.5] * TERMS for _ in range(n)], [1] * n
         for r in counts:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import materialize, table
+from citeloom.llm.common import let, materialize, table
 
 #: Fixed values of the contract: kind, pattern, group whose length counts, least length.
 KINDS = (
@@ -42,11 +42,6 @@ class Model:
     threshold: float
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once: lambdas would compute what they mention anew for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
     """What ``op`` gives for all elements before each element of an array.
 
@@ -65,7 +60,7 @@ def running(values: Column, op: Callable[[Column, Column], Column], zero: Column
         before = fold(F.transform(done, lambda d: d["at"]))["seen"]
         return F.flatten(F.zip_with(done, before, lambda d, b: F.transform(d["seen"], lambda s: op(b, s))))
 
-    return _let(_let(values, blocks), joined_up)
+    return let(let(values, blocks), joined_up)
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, values: bool = False) -> Column:
@@ -91,7 +86,7 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, valu
 
         return F.array_compact(F.zip_with(ps, before, span))
 
-    return _let(F.filter(parts, lambda p: p["n"].isNotNull()), placed).cast(_SPAN)
+    return let(F.filter(parts, lambda p: p["n"].isNotNull()), placed).cast(_SPAN)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -120,13 +115,13 @@ def apart(tokens: Column, base: Column) -> Column:
         before = F.filter(F.zip_with(events, reached, lambda e, r: F.when(e["sort"] == 0, r)), lambda r: r.isNotNull())
         return F.array_compact(F.zip_with(tokens, before, lambda t, r: F.when(r <= t["start"], t)))
 
-    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(_let(F.array_sort(F.concat(starts, ends)), free))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(let(F.array_sort(F.concat(starts, ends)), free))
 
 
 def _pairs(value: Column) -> Column:
     """Indexes of the character pairs of a string in a table of _N * _N cells; null where a character is another one."""
     at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(_CHARS), c) - 1)
-    index = _let(at, lambda a: F.zip_with(a, F.slice(a, F.lit(2), F.size(a)), lambda x, y: F.when((x >= 0) & (y >= 0), x * _N + y)))
+    index = let(at, lambda a: F.zip_with(a, F.slice(a, F.lit(2), F.size(a)), lambda x, y: F.when((x >= 0) & (y >= 0), x * _N + y)))
     return F.slice(index, F.lit(1), F.greatest(F.length(value) - 1, F.lit(0)))
 
 
@@ -148,7 +143,7 @@ def labelled_samples(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[DataFram
     both = chosen.select(F.inline(F.array(F.struct(F.lit(True).alias("random"), random.alias("v")), F.struct(F.lit(False).alias("random"), plain.alias("v")))))
     values = both.select("random", F.explode("v").alias("value")).groupBy("random", "value").agg(F.count("*").alias("n"))
     mine = F.filter(plain, lambda v: F.pmod(F.xxhash64(v), F.lit(HELD_OUT)) == 0)
-    several = _let(mine, lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.size(m), F.lit(1)), F.lit(JOINED)), lambda i: F.array_join(F.slice(m, i, F.lit(JOINED)), "-")))
+    several = let(mine, lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.size(m), F.lit(1)), F.lit(JOINED)), lambda i: F.array_join(F.slice(m, i, F.lit(JOINED)), "-")))
     return values, chosen.select(F.explode(several).alias("value")).where(F.length("value") >= LEAST)
 
 
@@ -179,7 +174,7 @@ def best_mean(value: Column, ratios: list[float]) -> Column:
     known = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     gains = F.transform(_pairs(value), lambda i: F.coalesce(F.get(known, i), F.lit(-99.0)))
     sums = running(F.concat(gains, F.array(F.lit(0.0))), lambda a, b: a + b, F.lit(0.0))
-    ahead = _let(sums, lambda s: F.zip_with(F.slice(s, F.lit(LEAST), F.size(s)), s, lambda b, a: b - a))
+    ahead = let(sums, lambda s: F.zip_with(F.slice(s, F.lit(LEAST), F.size(s)), s, lambda b, a: b - a))
     best = F.array_max(F.filter(ahead, lambda d: d.isNotNull())) / (LEAST - 1)
     return F.when(F.length(value) >= LEAST, best).otherwise(F.lit(float("-inf")))
 
@@ -227,11 +222,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
     def result(b: Column) -> Column:
-        more = F.when(F.size(F.col("tokens")) > 0, _let(F.col("tokens"), lambda ts: added(ts, b))).otherwise(none)
+        more = F.when(F.size(F.col("tokens")) > 0, let(F.col("tokens"), lambda ts: added(ts, b))).otherwise(none)
         return F.struct(places(b).alias("base"), places(F.array_sort(F.concat(b, more))).alias("spans"))
 
     found = rows.select("doc_id", base.alias("base"), tokens.alias("tokens"))
-    return found.select("doc_id", _let(F.col("base"), result).alias("r")).select("doc_id", "r.base", "r.spans")
+    return found.select("doc_id", let(F.col("base"), result).alias("r")).select("doc_id", "r.base", "r.spans")
 
 
 def joined(spans: Column) -> Column:
