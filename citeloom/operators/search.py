@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import chunks
+from citeloom.functions import text as tx
 from citeloom.functions.vectors import cosine, embed
+from citeloom.ranks import broadcast_if_small, global_rank
+from citeloom.scratch import materialize
 from citeloom.shipping import ship_package
 
-#: Query vectors scored at once; the matrix of a block is what a task holds.
-QUERY_BLOCK = 1024
-ROW_BLOCK = 4096
+#: Query vectors, and rows, scored at once: the matrix of a block and a chunk is what a task holds.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: A task passes on what it has found when it holds results of so many queries.
+HELD_QUERIES = 50_000
 RESULT = "title publication_year primary_topic_field primary_topic_domain cited_by_count foundational_score is_oa oa_url seed_topic".split()
 
 
@@ -51,60 +54,80 @@ def search(embeddings: DataFrame, papers: DataFrame, query: list[float], top_k:
     return p.join(best, "work_id").orderBy(F.desc_nulls_last("similarity"), "work_id").limit(top_k)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in chunks of vectors of one length: (d, works, vectors), the vectors as one binary value."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROW_BLOCK):
+            part, held = b.slice(at, ROW_BLOCK), {}
+            for work, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if v and None not in v:
+                    held.setdefault(len(v), []).append((work, v))
+            for d, rows in held.items():
+                vectors = np.array([v for _, v in rows], dtype=np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([[w for w, _ in rows]], pa.list_(pa.string())), pa.array([vectors], pa.binary())], names=["d", "works", "vectors"])
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _scorer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, queries, works, vectors) to the best k works of each query that a task has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            out = [(q, w, s) for q, own in top.items() for w, s in own.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            top.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query_id", "work_id", "similarity"])
+
+        top: dict[int, dict[str, float]] = {}
+        at, ids, unit = None, [], np.zeros((0, 0))
+        for b in batches:
+            for i in range(b.num_rows):
+                if (block := b.column(0)[i].as_py()) != at:
+                    queries = b.column(1)[i].as_py()
+                    at, ids, unit = block, [q["query_id"] for q in queries], _unit(np.array([q["vector"] for q in queries], dtype=np.float64))
+                works = b.column(2)[i].as_py()
+                score = unit @ _unit(np.frombuffer(b.column(3)[i].as_py()).reshape(len(works), -1)).T
+                for q, line in zip(ids, score, strict=True):
+                    own = top.setdefault(q, {})
+                    floor = min(own.values()) if len(own) >= k else -2.0
+                    for j in np.flatnonzero(line >= floor - 1e-6):
+                        own[works[j]] = max(own.get(works[j], -2.0), round(float(line[j]), 6))
+                    if len(own) > k:
+                        top[q] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k])
+                if len(top) > HELD_QUERIES:
+                    yield rows()
+        yield rows()
+
+    return run
+
+
 def knn(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, work_id, similarity, rank): for each query (query_id, vector) the best k works.
 
-    Queries come in blocks of QUERY_BLOCK, one matrix product for each block
-    and batch of rows. A task keeps its best k works of each query, so what is
-    shuffled is k rows for each query and task. Null vectors, and vectors of
-    another length than the query's, are like nothing and not found; a null
-    query finds nothing.
+    Queries are a table of blocks of QUERY_BLOCK, rows a table of chunks; a
+    chunk meets each block in the executors, one matrix product for each pair.
+    Blocks are broadcast if they are small, else copied to every one of a
+    number of parts that the chunks are dealt to. A task keeps its best k
+    works of each query, so what is shuffled is k rows for each query and
+    task. Null vectors, and vectors of another length than the query's, are
+    like nothing and not found; a null query finds nothing.
     """
-    ship_package(embeddings.sparkSession)
-    sc = embeddings.sparkSession.sparkContext
-    rows, found, block = embeddings.select("work_id", "embedding"), None, []
-
-    def run(block: list) -> DataFrame:
-        ids = [q.query_id for q in block]
-        m = np.array([q.vector for q in block], dtype=np.float64)
-        shared = sc.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            top: list[dict] = [{} for _ in ids]
-            for b in batches:
-                for at in range(0, b.num_rows, ROW_BLOCK):
-                    part = b.slice(at, ROW_BLOCK)
-                    held = [(w, v) for w, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if v is not None and len(v) == unit.shape[1] and None not in v]
-                    if not held:
-                        continue
-                    works = [w for w, _ in held]
-                    v = np.array([v for _, v in held], dtype=np.float64)
-                    score = unit @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                    for i in range(len(ids)):
-                        own = top[i]
-                        floor = min(own.values()) if len(own) >= k else -2.0
-                        for j in np.flatnonzero(score[i] >= floor - 1e-6):
-                            own[works[j]] = max(own.get(works[j], -2.0), round(float(score[i, j]), 6))
-                        if len(own) > k:
-                            top[i] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k])
-            out = [(q, w, s) for q, own in zip(ids, top, strict=True) for w, s in own.items()]
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query_id", "work_id", "similarity"])
-
-        return rows.mapInArrow(best, "query_id long, work_id string, similarity double")
-
-    known = queries.select("query_id", "vector").where("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)")
-    for q in known.orderBy(F.size("vector")).toLocalIterator():
-        if block and len(q.vector) != len(block[0].vector):  # a block has vectors of one length
-            found, block = run(block) if found is None else found.union(run(block)), []
-        block.append(q)
-        if len(block) == QUERY_BLOCK:
-            found, block = run(block) if found is None else found.union(run(block)), []
-    if block or found is None:
-        if not block:
-            return embeddings.select(F.lit(0).cast("long").alias("query_id"), "work_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).where("false")
-        found = run(block) if found is None else found.union(run(block))
+    spark = embeddings.sparkSession
+    ship_package(spark)
+    known = queries.select("query_id", "vector").where("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)").withColumn("d", F.size("vector"))
+    placed = global_rank(known, ["d", "query_id"], "queries", "place")
+    blocks = placed.groupBy("d", F.floor(F.col("place") / QUERY_BLOCK).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
+    blocks = materialize(blocks.select("d", F.concat_ws(":", F.col("d").cast("string"), F.col("b").cast("string")).alias("block"), "queries"), "query-blocks")
+    chunks = embeddings.select("work_id", "embedding").mapInArrow(_chunks, "d int, works array<string>, vectors binary")
+    few, keys = broadcast_if_small(blocks), ["d"]
+    if few is blocks:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        few = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        chunks, keys = chunks.withColumn("part", F.pmod(F.xxhash64("vectors"), F.lit(parts))), ["d", "part"]
+    found = chunks.join(few, keys).select("block", "queries", "works", "vectors").mapInArrow(_scorer(k), "query_id long, work_id string, similarity double")
     best = found.groupBy("query_id", "work_id").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "work_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -127,7 +150,7 @@ def similar_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def chunk_papers(papers: DataFrame, text: str = "narrative_abstract", size: int = 1500, overlap: int = 100) -> DataFrame:
     """(embedding_id, work_id, chunk_index, chunk_text); the index counts the pieces that are left."""
-    c = papers.select("work_id", F.posexplode(chunks(F.col(text), size, overlap)).alias("chunk_index", "chunk_text"))
+    c = papers.select("work_id", F.posexplode(tx.chunks(F.col(text), size, overlap)).alias("chunk_index", "chunk_text"))
     return c.select(F.concat_ws(":", "work_id", F.col("chunk_index").cast("string")).alias("embedding_id"), "work_id", "chunk_index", "chunk_text")
 
 

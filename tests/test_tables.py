@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -151,6 +152,28 @@ def test_vectors_that_are_missing(spark):
     assert search.knn(vectors, queries.where("query_id = 2"), 5).collect() == []
 
 
+def test_blocks_of_queries(spark, monkeypatch):
+    """Any size of blocks and chunks, with blocks broadcast or copied, finds what plain scoring finds."""
+    rnd = random.Random(7)
+    vectors = [(f"w{i % 150}", [rnd.gauss(0, 1) for _ in range(5)]) for i in range(300)]
+    asked = [(i, [rnd.gauss(0, 1) for _ in range(5)]) for i in range(23)]
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    want = {}
+    for q, a in asked:
+        best = {}
+        for w, v in vectors:
+            best[w] = max(best.get(w, -2), round(sum(x * y for x, y in zip(a, v)) / size(a) / size(v), 6))
+        want |= {(q, n + 1): w for n, (w, _) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4])}
+    rows, queries = spark.createDataFrame(vectors, "work_id string, embedding array<double>").repartition(3), spark.createDataFrame(asked, "query_id long, vector array<double>")
+    for query_block, row_block, held in ((1024, 4096, 50_000), (5, 7, 3)):
+        monkeypatch.setattr(search, "QUERY_BLOCK", query_block)
+        monkeypatch.setattr(search, "ROW_BLOCK", row_block)
+        monkeypatch.setattr(search, "HELD_QUERIES", held)
+        assert {(r.query_id, r.rank): r.work_id for r in search.knn(rows, queries, 4).collect()} == want
+    monkeypatch.setattr(search, "broadcast_if_small", lambda df: df)
+    assert {(r.query_id, r.rank): r.work_id for r in search.knn(rows, queries, 4).collect()} == want
+
+
 def test_queue_in_order(spark):
     papers = spark.createDataFrame([("a", "t", 3, None), ("b", "t", None, None), ("c", "t", 1, None), ("d", None, 0, None), ("e", "t", 0, 1), ("f", "t", 1, None)], "work_id string, narrative_abstract string, synced_at int, embedded_at int")
     assert [r.work_id for r in search.unembedded(papers, 3).collect()] == ["b", "c", "f"] and search.unembedded(papers).count() == 4
