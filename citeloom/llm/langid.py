@@ -22,7 +22,7 @@ FOLDS = 5
 CALIBRATION_FOLD = 1
 #: A text of a known language is rejected with this probability. As no sample shows so rare a residual, the limit
 #: follows from the largest TAIL of those in calibration, whose excess is taken for exponential.
-FALSE_REJECTION, TAIL = 1e-6, 0.05
+FALSE_REJECTION, TAIL = 1e-8, 0.05
 BOS, GAP, BASE = 0x110000, 0x20, 0x110001
 UNDECIDED = "und"
 _PIECE_CELLS, _PIECE_LEAST = 2_000_000, 1 << 14
