@@ -225,7 +225,8 @@ def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | Non
     _, cells, topics = mixing_plan(docs, targets, keep)
     names = [f"_mix_{d}" for d in DIMENSIONS]
     right = cells.where("prob > 0").select(*[F.col(d).alias(n) for d, n in zip(DIMENSIONS, names, strict=True)], F.col("prob").alias("_mix_prob"))
-    own = _metadata(docs) + ([topics.of(terms(F.coalesce(F.col("text"), F.lit(""))))] if topics else [])
+    # Never null, so that no filter on the join's keys finds the topics a second time.
+    own = _metadata(docs) + ([F.coalesce(topics.of(terms(F.coalesce(F.col("text"), F.lit("")))), F.lit(""))] if topics else [])
     left = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns(dict(zip(names, own, strict=True)))
     return left.join(broadcast_if_small(right), names).where(chance(F.col("doc_id")) < F.col("_mix_prob")).select(*docs.columns)
 
