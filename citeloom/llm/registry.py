@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from citeloom.llm.chat import OP6_SQL, op6_chat_prefix_trees
 from citeloom.llm.decontamination import OP3_SQL, op3_decontamination
+from citeloom.llm.divergence import OP11_SQL, op11_source_divergence
 from citeloom.llm.hostrules import OP9_SQL, op9_host_rules
 from citeloom.llm.langid import op1_language_id
 from citeloom.llm.mixing import op2_source_mixing
@@ -11,6 +12,7 @@ from citeloom.llm.resampling import op4_importance_resampling
 from citeloom.llm.secrets import op7_secret_scan
 from citeloom.llm.sharding import op5_hilbert_shards
 from citeloom.llm.simhash import op8_simhash_components
+from citeloom.llm.vectorcodes import OP12_SQL, op12_vector_codes
 from citeloom.llm.wrappers import op10_wrapper_text
 
 QUERIES = {
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_simhash_components": op8_simhash_components,
     "op9_host_rules": op9_host_rules,
     "op10_wrapper_text": op10_wrapper_text,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op6_chat_prefix_trees": OP6_SQL,
     "op9_host_rules": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
