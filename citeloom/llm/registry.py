@@ -12,6 +12,7 @@ from citeloom.llm.resampling import op4_importance_resampling
 from citeloom.llm.secrets import op7_secret_scan
 from citeloom.llm.sharding import op5_hilbert_shards
 from citeloom.llm.simhash import op8_simhash_components
+from citeloom.llm.tokenfiles import op13_token_files
 from citeloom.llm.vectorcodes import OP12_SQL, op12_vector_codes
 from citeloom.llm.wrappers import op10_wrapper_text
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_wrapper_text": op10_wrapper_text,
     "op11_source_divergence": op11_source_divergence,
     "op12_vector_codes": op12_vector_codes,
+    "op13_token_files": op13_token_files,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
