@@ -143,8 +143,7 @@ class Block:
             labels = [b"\0" + _escaped(lang) + b"\0" + _escaped(source) for lang, source in self.groups]
             shard = np.array([crc32(t) % shards for t in terms.to_pylist()], dtype=np.int32)[codes]
             order = np.lexsort((_ranks(pa.array(labels, pa.binary()))[group], _ranks(terms)[codes], shard))
-            keys = pc.binary_join_element_wise(terms.take(pa.array(codes[order])), pa.array(labels, pa.binary()).take(pa.array(group[order])), b"")
-            yield from _chunk_batches(shard[order], run, keys, counts[order], docs[order])
+            yield from _chunk_batches(shard[order], run, terms.take(pa.array(codes[order])), labels, group[order], counts[order], docs[order])
         self.__init__()
 
 
@@ -154,22 +153,38 @@ def _ranks(values: pa.Array) -> np.ndarray:
     return out
 
 
-_CHUNKS = "shard int, run long, first binary, keys array<binary>, counts array<long>, docs array<long>"
+_CHUNKS = "shard int, run long, first binary, terms binary, labels binary, label_of binary, counts binary, docs binary"
 _CHUNK_NAMES = [c.split()[0] for c in _CHUNKS.split(", ")]
 
 
-def _chunk_batches(shard: np.ndarray, run: int, keys: pa.Array, counts: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted postings, cut into chunks of one shard and bounded size."""
-    size = np.cumsum(pc.binary_length(keys).to_numpy())
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest of them needs."""
+    return values.astype(np.min_scalar_type(int(values.max()))).tobytes()
+
+
+def _wide(data: bytes, n: int) -> list[int]:
+    return np.frombuffer(data, dtype=f"<u{len(data) // n}").tolist()
+
+
+def _chunk_batches(shard: np.ndarray, run: int, terms: pa.Array, labels: list[bytes], label_of: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted postings, cut into chunks of one shard and bounded size.
+
+    A chunk is a few binary values: its terms, divided by spaces, and numbers
+    of one or two bytes mostly, so that runs are small on disk and on the wire.
+    """
+    size = np.cumsum(pc.binary_length(terms).to_numpy().astype(np.int64))
     ends = np.flatnonzero(np.concatenate([shard[1:] != shard[:-1], [True]])) + 1
     start = 0
     for end in ends.tolist():
         while start < end:
             full = int(np.searchsorted(size, (size[start - 1] if start else 0) + CHUNK_BYTES))
             stop = min(end, start + CHUNK, max(full, start + 1))
-            part = slice(start, stop)
-            lists = [pa.ListArray.from_arrays([0, stop - start], c) for c in (keys[part], pa.array(counts[part]), pa.array(docs[part]))]
-            yield pa.RecordBatch.from_arrays([pa.array([shard[start]], pa.int32()), pa.array([run], pa.int64()), keys[start : start + 1], *lists], names=_CHUNK_NAMES)
+            words = terms[start:stop].to_pylist()
+            used, own = np.unique(label_of[start:stop], return_inverse=True)
+            names = [labels[i] for i in used]
+            values = [words[0] + names[own[0]], b" ".join(words), b"".join(names), *map(_narrow, (own, counts[start:stop], docs[start:stop]))]
+            columns = [pa.array([shard[start]], pa.int32()), pa.array([run], pa.int64()), *[pa.array([v], pa.binary()) for v in values]]
+            yield pa.RecordBatch.from_arrays(columns, names=_CHUNK_NAMES)
             start = stop
 
 
@@ -188,7 +203,11 @@ def _invert(batches: Iterator[pa.RecordBatch], shards: int, block_postings: int)
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, Iterator[Posting]]]:
     for b in batches:
         for row in b.to_pylist():
-            yield row["shard"], row["first"], zip(row["keys"], row["counts"], row["docs"], strict=True)
+            words, names = row["terms"].split(b" "), row["labels"].split(b"\0")
+            labels = [b"\0" + a + b"\0" + b for a, b in zip(names[1::2], names[2::2], strict=True)]
+            n = len(words)
+            keys = [w + labels[i] for w, i in zip(words, _wide(row["label_of"], n), strict=True)]
+            yield row["shard"], row["first"], zip(keys, _wide(row["counts"], n), _wide(row["docs"], n), strict=True)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Posting]]:
@@ -235,7 +254,10 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of each shard to one; shards of several groups of runs have numbers of their own."""
     for shard, chunk in chunked(merged(batches)):
         keys, counts, docs = zip(*chunk, strict=True)
-        yield from _chunk_batches(np.full(len(keys), shard), 0, pa.array(keys, pa.binary()), np.array(counts), np.array(docs))
+        parts = [k.partition(b"\0") for k in keys]
+        labels: dict[bytes, int] = {}
+        label_of = np.array([labels.setdefault(b"\0" + rest, len(labels)) for _, _, rest in parts])
+        yield from _chunk_batches(np.full(len(keys), shard), 0, pa.array([t for t, _, _ in parts], pa.binary()), list(labels), label_of, np.array(counts), np.array(docs))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:

@@ -129,7 +129,7 @@ def test_chunks_are_bounded_by_bytes(monkeypatch):
     block = Block()
     for i in range(20):
         block.add(b"en", b"s", bytes([97 + i]) * 70)
-    sizes = [len(b["keys"][0]) for b in block.run(1, 0)]
+    sizes = [len(b["terms"][0].as_py().split()) for b in block.run(1, 0)]
     assert sum(sizes) == 20 and max(sizes) <= 2
 
 
