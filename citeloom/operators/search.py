@@ -71,8 +71,44 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def _packed(by: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of queries as one binary value of unit vectors each, so that a task decodes nothing for a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                units = _unit(np.array([q["vector"] for q in row["queries"]], dtype=np.float64))
+                columns = [pa.array([row[by]], pa.int32()), pa.array([[q["query_id"] for q in row["queries"]]], pa.list_(pa.int64())), pa.array([units.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[by, "ids", "units"])
+
+    return run
+
+
+def usable_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, vector, d): queries whose vector is neither null nor empty nor holds a null."""
+    known = queries.select("query_id", "vector").where("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)")
+    return known.withColumn("d", F.size("vector"))
+
+
+def query_blocks(queries: DataFrame, by: str) -> DataFrame:
+    """(by, ids, units): ``queries`` (query_id, vector, by) in blocks of QUERY_BLOCK with one value of ``by``."""
+    placed = global_rank(queries, [by, "query_id"], "queries", "place")
+    blocks = placed.groupBy(by, F.floor(F.col("place") / QUERY_BLOCK).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
+    return materialize(blocks.mapInArrow(_packed(by), f"{by} int, ids array<long>, units binary"), "query-blocks")
+
+
+def meet(chunks: DataFrame, blocks: DataFrame, by: str, spread: str) -> DataFrame:
+    """Every chunk with every block of its ``by``. Blocks are broadcast if they are small, else copied to the parts that chunks are dealt to by ``spread``."""
+    few = broadcast_if_small(blocks)
+    if few is not blocks:
+        return chunks.join(few, by)
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return chunks.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(parts))).join(copies, [by, "part"])
+
+
 def _scorer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (block, queries, works, vectors) to the best k works of each query that a task has seen."""
+    """Rows (ids, units, works, vectors) to the best k works of each query that a task has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
@@ -82,21 +118,18 @@ def _scorer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query_id", "work_id", "similarity"])
 
         top: dict[int, dict[str, float]] = {}
-        at, ids, unit = None, [], np.zeros((0, 0))
         for b in batches:
             for i in range(b.num_rows):
-                if (block := b.column(0)[i].as_py()) != at:
-                    queries = b.column(1)[i].as_py()
-                    at, ids, unit = block, [q["query_id"] for q in queries], _unit(np.array([q["vector"] for q in queries], dtype=np.float64))
-                works = b.column(2)[i].as_py()
-                score = unit @ _unit(np.frombuffer(b.column(3)[i].as_py()).reshape(len(works), -1)).T
+                ids, works = b.column(0)[i].values.to_pylist(), b.column(2)[i].values.to_pylist()
+                units = np.frombuffer(b.column(1)[i].as_buffer()).reshape(len(ids), -1)
+                score = units @ _unit(np.frombuffer(b.column(3)[i].as_buffer()).reshape(len(works), -1)).T
                 for q, line in zip(ids, score, strict=True):
                     own = top.setdefault(q, {})
                     floor = min(own.values()) if len(own) >= k else -2.0
                     for j in np.flatnonzero(line >= floor - 1e-6):
                         own[works[j]] = max(own.get(works[j], -2.0), round(float(line[j]), 6))
                     if len(own) > k:
-                        top[q] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k])
+                        top[q] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))[:k])  # null ids first, as Spark sorts
                 if len(top) > HELD_QUERIES:
                     yield rows()
         yield rows()
@@ -104,33 +137,26 @@ def _scorer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
+def best_works(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, work_id, similarity, rank): the best k works of each query by their best chunk; ties go to the smaller id."""
+    best = scored.groupBy("query_id", "work_id").agg(F.max("similarity").alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "work_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def knn(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, work_id, similarity, rank): for each query (query_id, vector) the best k works.
 
     Queries are a table of blocks of QUERY_BLOCK, rows a table of chunks; a
     chunk meets each block in the executors, one matrix product for each pair.
-    Blocks are broadcast if they are small, else copied to every one of a
-    number of parts that the chunks are dealt to. A task keeps its best k
-    works of each query, so what is shuffled is k rows for each query and
-    task. Null vectors, and vectors of another length than the query's, are
-    like nothing and not found; a null query finds nothing.
+    A task keeps its best k works of each query, so what is shuffled is k rows
+    for each query and task. Null vectors, and vectors of another length than
+    the query's, are like nothing and not found; a null query finds nothing.
     """
-    spark = embeddings.sparkSession
-    ship_package(spark)
-    known = queries.select("query_id", "vector").where("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)").withColumn("d", F.size("vector"))
-    placed = global_rank(known, ["d", "query_id"], "queries", "place")
-    blocks = placed.groupBy("d", F.floor(F.col("place") / QUERY_BLOCK).alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-    blocks = materialize(blocks.select("d", F.concat_ws(":", F.col("d").cast("string"), F.col("b").cast("string")).alias("block"), "queries"), "query-blocks")
+    ship_package(embeddings.sparkSession)
     chunks = embeddings.select("work_id", "embedding").mapInArrow(_chunks, "d int, works array<string>, vectors binary")
-    few, keys = broadcast_if_small(blocks), ["d"]
-    if few is blocks:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        few = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        chunks, keys = chunks.withColumn("part", F.pmod(F.xxhash64("vectors"), F.lit(parts))), ["d", "part"]
-    found = chunks.join(few, keys).select("block", "queries", "works", "vectors").mapInArrow(_scorer(k), "query_id long, work_id string, similarity double")
-    best = found.groupBy("query_id", "work_id").agg(F.max("similarity").alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "work_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs = meet(chunks, query_blocks(usable_queries(queries), "d"), "d", "vectors").select("ids", "units", "works", "vectors")
+    return best_works(pairs.mapInArrow(_scorer(k), "query_id long, work_id string, similarity double"), k)
 
 
 def search_many(embeddings: DataFrame, papers: DataFrame, queries: DataFrame, top_k: int = 10, **filters) -> DataFrame:
