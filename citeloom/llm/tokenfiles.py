@@ -26,7 +26,7 @@ SHARD_BYTES = 256 << 20
 #: Every so many boundaries the select structure notes, in 32 bits, where the upper bits stand.
 SAMPLE = 256
 #: Words whose ids a Python worker remembers, and the longest of them.
-KNOWN_WORDS, KNOWN_LENGTH = 400_000, 64
+KNOWN_WORDS, KNOWN_LENGTH = 1_000_000, 64
 #: Texts go to the tokenizer in pieces of about this many characters, files are read in pieces of about this many ids.
 _PIECE, _READ = 1 << 18, 1 << 20
 
@@ -174,7 +174,7 @@ class WordEncoder:
             self.known.clear()
         self.known[""] = b""
         new = {w for words in split for w in words if w not in self.known}
-        learnt = self._learn(sorted(new))
+        learnt = self._learn(list(new))
         long = {w: v for w, v in learnt.items() if len(w) > KNOWN_LENGTH}
         self.known.update((w, v) for w, v in learnt.items() if len(w) <= KNOWN_LENGTH)
         ids = (self.known | long if long else self.known).__getitem__
@@ -188,57 +188,58 @@ def id_type(vocabulary: int, end_id: int) -> np.dtype:
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], config: str, end_id: int, words_apart: bool) -> Iterator[pa.RecordBatch]:
+def _encoder(config: str, end_id: int, words_apart: bool) -> WordEncoder:
     key = hash(config), end_id, words_apart
     if key not in _ENCODERS:  # a worker that is used again knows its words
         _ENCODERS.clear()
         _ENCODERS[key] = WordEncoder(config, end_id, words_apart)
-    encoder = _ENCODERS[key]
-    for b in batches:
-        for at in range(0, b.num_rows, 100):
-            part = b.slice(at, 100)
-            ids = encoder(part.column(1).to_pylist())
-            lengths = pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), lengths, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+    return _ENCODERS[key]
 
 
 class _ShardWriter:
-    """One task's files; nothing refers to those of an attempt that fails."""
+    """One pair of files of a task; nothing refers to those of an attempt that fails."""
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str, number: int) -> None:
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
-        self.name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        self.shard = (TaskContext.get().partitionId() << 20) + number
+        self.name = f"{self.shard:012d}-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}.ids")
-        self.nulls, self.total = 0, 0
+        self.nulls = self.total = self.bytes = 0
         self.docs: list[np.ndarray] = []
         self.ends: list[np.ndarray] = [np.zeros(1, np.int64)]
 
-    def add(self, b: pa.RecordBatch) -> None:
-        docs = b.column("doc_id")
+    def add(self, docs: pa.Array, ids: list[bytes], width: int) -> None:
         self.nulls += docs.null_count
         self.docs.append(docs.drop_null().to_numpy())
-        ends = np.cumsum(b.column("n_tokens").to_numpy()) + self.total
+        ends = np.cumsum([len(x) // width for x in ids]) + self.total
         self.ends.append(ends)
         self.total = int(ends[-1])
-        for ids in b.column("ids"):
-            self.out.write(ids.as_buffer())
+        self.bytes = self.total * width
+        self.out.writelines(ids)
 
-    def close(self) -> dict[str, int | str]:
+    def close(self) -> pa.RecordBatch:
         self.out.close()
         bounds, docs = EliasFano.encode(np.concatenate(self.ends)), EliasFano.encode(np.concatenate(self.docs))
         with self.fs.open_output_stream(f"{self.folder}/{self.name}.bounds") as out:
             out.write(struct.pack("<Q", self.nulls) + bounds + docs)
-        return {"shard": TaskContext.get().partitionId(), "name": self.name, "n_docs": sum(map(len, self.ends)) - 1, "n_tokens": self.total}
+        row = [self.shard, self.name, sum(map(len, self.ends)) - 1, self.total]
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["shard", "name", "n_docs", "n_tokens"])
 
 
-def _write_shard(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    writer = None
+def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, shard_bytes: int, encoder: tuple) -> Iterator[pa.RecordBatch]:
+    """Encodes the sorted rows of a task and appends them to files, a new one whenever the last is full."""
+    encode = _encoder(*encoder)
+    writer, number = None, 0
     for b in batches:
-        if b.num_rows:
-            writer = writer or _ShardWriter(folder)
-            writer.add(b)
+        for at in range(0, b.num_rows, 100):
+            part = b.slice(at, 100)
+            writer = writer or _ShardWriter(folder, number)
+            writer.add(part.column(0), encode(part.column(1).to_pylist()), encode.dtype.itemsize)
+            if writer.bytes >= shard_bytes:
+                yield writer.close()
+                writer, number = None, number + 1
     if writer:
-        yield pa.RecordBatch.from_pylist([writer.close()], schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        yield writer.close()
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, words_apart: bool | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -248,15 +249,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     in ascending order of doc_id, and a file with its document boundaries and
     doc_ids, both Elias-Fano encoded. The manifest, a table under
     ``path/manifest``, names the files and holds the documents and ids before
-    each shard. ``path`` is a folder that all executors reach. Texts are
-    encoded once and written; then their ids alone are shuffled, by sampled
-    ranges of doc_id. A task that is run again writes new files, and the
-    manifest names those of the attempt that was committed.
+    each shard. ``path`` is a folder that all executors reach. The texts are
+    sorted by sampled ranges of doc_id, and encoded by the task that writes
+    them, so ids are neither shuffled nor kept elsewhere. A task that is run
+    again writes new files, and the manifest names those of the attempt that
+    was committed.
 
     A null text is an empty one; null ids come first; rows with equal ids are
-    ordered by what their ids hash to, so repeated rows may go to several
-    tasks. Very long texts are encoded whole. An empty table makes an empty
-    manifest; other columns, whatever their names, are not read.
+    ordered by a hash of the text, and repeated rows may go to several tasks.
+    Very long texts are encoded whole. An empty table makes an empty manifest;
+    other columns, whatever their names, are not read.
 
     ``tokenizer`` is the path of a tokenizers file on the driver; ``words_apart``
     says that its ids do not depend on the neighbouring words (true of the
@@ -268,16 +270,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     words_apart = tokenizer is None if words_apart is None else words_apart
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as file:
         config = spark.sparkContext.broadcast(file.read())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = rows.mapInArrow(lambda it: _encode(it, config.value, end_id, words_apart), "doc_id long, n_tokens long, ids binary")
-    encoded = materialize(encoded.withColumn("_tie", F.xxhash64("ids")), "token-rows")
-    size = encoded.agg(F.coalesce(F.sum(F.octet_length("ids").cast("long")), F.lit(0))).first()[0]
-    shards = max(-(-size // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
-    ordered = encoded.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(shards, *order, "_row").sortWithinPartitions(*order)
     filesystem, folder = pafs.FileSystem.from_uri(path)
     filesystem.create_dir(folder)
-    written = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(lambda it: _write_shard(it, path), "shard int, name string, n_docs long, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
+    ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order, "_row").sortWithinPartitions(*order)
+    written = ordered.select("doc_id", "text").mapInArrow(lambda it: _write_shards(it, path, shard_bytes, (config.value, end_id, words_apart)), "shard long, name string, n_docs long, n_tokens long")
     written = materialize(written, "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     starts = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n.removeprefix('n_')}_before") for n in ("n_docs", "n_tokens")]
