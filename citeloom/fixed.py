@@ -23,6 +23,10 @@ PER_TOPIC = 200
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 100
 SEND_ROWS = 1000
 
+# Ids and rows of one call to a record service, its tries, and the seconds that each wait is longer.
+CALL_IDS, CALL_ROWS = 100, 200
+RETRIES, RETRY_SECONDS = 3, 1.5
+
 # Column of a cleaned work -> path in its record.
 WORK_PATHS = {
     "title": "display_name",

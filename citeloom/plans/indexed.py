@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from citeloom.operators import ann, search
 from citeloom.plans import fixture as fx
-from citeloom.plans.queries import _KNN_SQL, K, _query_vectors, query
+from citeloom.plans import medallion
+from citeloom.plans.queries import _KNN_SQL, K, _query_vectors, query, snowball_sql
 from citeloom.scratch import scratch_path
-from citeloom.sources import sink
+from citeloom.sources import service, sink
 
 #: Each query probes this share of the cells: the supplied vectors have no clusters, so that neighbours lie in many cells.
 PROBED_SHARE = 0.5
@@ -45,3 +48,50 @@ def sink_papers(spark, sf):
     for number, rows in ((1, papers), (2, third), (2, third)):
         sink.send_batch(rows, path, number)
     return sink.latest(sink.read_sink(spark, path, "work_id string, title string, cited_by_count long"), ["work_id"])
+
+
+# Record service -----------------------------------------------------------
+
+_RECORD = "id string, title string, cited_by_count long, referenced_works array<string>"
+
+
+def _service(spark, sf):
+    """(works, connect): the corpus behind a record service, listed under its topics."""
+    b = fx.base(spark, sf)
+    path = scratch_path(spark, "service")
+    works = b.select(F.col("work_id").alias("id"), "title", "cited_by_count", "referenced_works", F.col("seed_topic").alias("topic"))
+    works.write.parquet(f"{path}/works")
+    medallion.silver_citation_edges(b).select(F.col("citing_work_id").alias("citing"), F.col("cited_work_id").alias("cited")).distinct().write.parquet(f"{path}/edges")
+    return b, lambda: service.FileService(path)
+
+
+def _listed(spark, connect, per_topic, topics):
+    source = service.works_service(connect, _RECORD)
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).option("topics", json.dumps(topics)).option("per_topic", per_topic).load()
+
+
+def _topics(b):
+    return [r.seed_topic for r in b.select("seed_topic").where("seed_topic IS NOT NULL").distinct().orderBy("seed_topic").collect()]  # the topics of a harvest are parameters
+
+
+@query(f"WITH {snowball_sql(5)} SELECT topic, work_id, title, cited_by_count FROM seeds JOIN works USING (work_id)")
+def service_seeds(spark, sf):
+    b, connect = _service(spark, sf)
+    return _listed(spark, connect, 5, _topics(b)).select("topic", F.col("id").alias("work_id"), "title", "cited_by_count")
+
+
+@query(f"WITH {snowball_sql(5)} SELECT DISTINCT topic, citing AS work_id FROM edges JOIN seeds ON cited = work_id WHERE citing IN (SELECT work_id FROM works)")
+def service_citing(spark, sf):
+    """What cites the first five works of each topic, asked of the service."""
+    b, connect = _service(spark, sf)
+    seeds = _listed(spark, connect, 5, _topics(b)).select("topic", "id")
+    citing = service.look_up(seeds.select("id"), connect, _RECORD, "cites").select("cites", F.col("id").alias("work_id"))
+    return seeds.join(citing, seeds["id"] == citing["cites"]).select("topic", "work_id").distinct()
+
+
+@query(f"WITH {fx.WORKS_SQL} SELECT work_id, title FROM works WHERE work_id IN (SELECT 'W' || l_partkey FROM lineitem WHERE l_quantity < 3)")
+def service_look_up(spark, sf):
+    _, connect = _service(spark, sf)
+    asked = fx.table(spark, sf, "lineitem").where("l_quantity < 3").select(F.concat(F.lit("W"), "l_partkey").alias("id"))
+    return service.look_up(asked, connect, _RECORD).select(F.col("id").alias("work_id"), "title")

@@ -508,8 +508,9 @@ def sync_authorships(spark, sf):
 
 # Corpus construction and ingestion ------------------------------------------
 
-_SNOWBALL_SQL = f"""{fx.EDGES_SQL}, seeds AS (
-  SELECT topic, work_id FROM (SELECT seed_topic AS topic, work_id, row_number() OVER (PARTITION BY seed_topic ORDER BY cited_by_count DESC, work_id) AS rn FROM works) WHERE rn <= {PER_TOPIC}
+def snowball_sql(per_topic: int) -> str:
+    return f"""{fx.EDGES_SQL}, seeds AS (
+  SELECT topic, work_id FROM (SELECT seed_topic AS topic, work_id, row_number() OVER (PARTITION BY seed_topic ORDER BY cited_by_count DESC, work_id) AS rn FROM works) WHERE rn <= {per_topic}
 ), hops AS (
   SELECT topic, work_id, 1 AS h FROM seeds
   UNION ALL SELECT topic, cited, 2 FROM edges JOIN seeds ON citing = work_id WHERE cited IN (SELECT work_id FROM works)
@@ -519,10 +520,24 @@ _SNOWBALL_SQL = f"""{fx.EDGES_SQL}, seeds AS (
 )"""
 
 
-def _ball(spark, sf):
+_SNOWBALL_SQL, _FEW_SEEDS_SQL, FEW_SEEDS = snowball_sql(PER_TOPIC), snowball_sql(5), 5
+
+
+def _ball(spark, sf, per_topic=PER_TOPIC):
     b = fx.base(spark, sf)
     universe = b.select(F.col("seed_topic").alias("topic"), "work_id", "cited_by_count")
-    return snowball.snowball(universe, medallion.silver_citation_edges(b), PER_TOPIC)
+    return snowball.snowball(universe, medallion.silver_citation_edges(b), per_topic)
+
+
+@query(f"WITH {_FEW_SEEDS_SQL} SELECT topic, work_id, hop FROM ball")
+def citation_snowball_few_seeds(spark, sf):
+    """Topics have more works than seeds here, so the choice of seeds and its ties show."""
+    return _ball(spark, sf, FEW_SEEDS)
+
+
+@query(f"WITH {_FEW_SEEDS_SQL} SELECT topic, count(*) AS works FROM ball GROUP BY ROLLUP (topic)")
+def harvest_summary_few_seeds(spark, sf):
+    return snowball.harvest_summary(_ball(spark, sf, FEW_SEEDS))
 
 
 @query(f"WITH {_SNOWBALL_SQL} SELECT topic, work_id, hop FROM ball")
@@ -592,10 +607,15 @@ def topics_ingest(spark, sf):
 
 
 @query(f"WITH {_SNOWBALL_SQL} SELECT work_id, title, topic AS _seed_topic, ball.hop AS _hop FROM ball JOIN works USING (work_id)")
-def harvest_records(spark, sf):
+def harvest_records(spark, sf, per_topic=PER_TOPIC):
     w = fx.base(spark, sf)
     records = w.select(F.col("work_id").alias("id"), F.col("title").alias("display_name"), F.col("seed_topic").alias("_topic"), "cited_by_count", "referenced_works")
-    return snowball.harvest(records, PER_TOPIC).select(F.col("id").alias("work_id"), F.col("display_name").alias("title"), "_seed_topic", "_hop")
+    return snowball.harvest(records, per_topic).select(F.col("id").alias("work_id"), F.col("display_name").alias("title"), "_seed_topic", "_hop")
+
+
+@query(f"WITH {_FEW_SEEDS_SQL} SELECT work_id, title, topic AS _seed_topic, ball.hop AS _hop FROM ball JOIN works USING (work_id)")
+def harvest_records_few_seeds(spark, sf):
+    return harvest_records(spark, sf, FEW_SEEDS)
 
 
 @query(f"WITH {fx.WORKS_SQL} SELECT work_id, title FROM works WHERE work_id IN (SELECT 'W' || l_partkey FROM lineitem WHERE l_quantity < 3)")
