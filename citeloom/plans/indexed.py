@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from citeloom.operators import ann, search
 from citeloom.plans import fixture as fx
 from citeloom.plans import medallion
-from citeloom.plans.queries import _KNN_SQL, K, _query_vectors, query, snowball_sql
+from citeloom.plans.queries import _KNN_SQL, _STATE_SQL, K, _query_vectors, query, snowball_sql
 from citeloom.scratch import scratch_path
 from citeloom.sources import service, sink
+from citeloom.streaming.progress import stream_progress
+from citeloom.streaming.schema_location import SchemaLocation, ingest_evolving, read_evolved
 
 #: Each query probes this share of the cells: the supplied vectors have no clusters, so that neighbours lie in many cells.
 PROBED_SHARE = 0.5
@@ -95,3 +97,31 @@ def service_look_up(spark, sf):
     _, connect = _service(spark, sf)
     asked = fx.table(spark, sf, "lineitem").where("l_quantity < 3").select(F.concat(F.lit("W"), "l_partkey").alias("id"))
     return service.look_up(asked, connect, _RECORD).select(F.col("id").alias("work_id"), "title")
+
+
+# Streams -------------------------------------------------------------------
+
+
+@query(f"WITH {_STATE_SQL} SELECT * FROM state")
+def progress_stream(spark, sf):
+    """The progress log as a stream of four files, a micro-batch each, late events among them."""
+    path = scratch_path(spark, "progress-stream")
+    log = fx.progress_log(spark, sf)
+    log.repartition(4, F.pmod(F.xxhash64("seq"), F.lit(4))).write.parquet(f"{path}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    sink.send_stream(stream_progress(stream), f"{path}/out", f"{path}/check")
+    columns = "user_id string, work_id string, status string, started_at timestamp, completed_at timestamp, updated_at timestamp, expired boolean"
+    return sink.latest(sink.read_sink(spark, f"{path}/out", columns), ["user_id", "work_id"]).drop("expired")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN n_chars END AS n_chars, CASE WHEN doc_id % 3 = 1 THEN lang END AS lang,
+  CASE WHEN doc_id % 3 = 2 THEN source END AS origin_name, CASE WHEN doc_id % 3 = 2 THEN doc_id / 2 END AS ratio FROM documents""")
+def evolving_ingest(spark, sf):
+    """Records that gain fields, ingested in three runs with a schema location between them."""
+    path = scratch_path(spark, "evolving")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "n_chars", "lang", F.struct(F.col("source").alias("name"), (F.col("doc_id") / 2).alias("ratio")).alias("origin"))
+    for turn, columns in enumerate((["doc_id"], ["doc_id", "n_chars", "lang"], ["doc_id", "n_chars", "origin"])):
+        docs.where(F.col("doc_id") % 3 == turn).select(*columns).write.mode("append").json(f"{path}/in")
+        ingest_evolving(spark, f"{path}/in", f"{path}/table", f"{path}/check", SchemaLocation(f"{path}/schemas"))
+    rows = read_evolved(spark, f"{path}/table", SchemaLocation(f"{path}/schemas"))
+    return rows.select("doc_id", "n_chars", "lang", F.col("origin.name").alias("origin_name"), F.col("origin.ratio").alias("ratio"))

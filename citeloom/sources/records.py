@@ -45,7 +45,7 @@ def _below(place: Column, found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.concat(place, x["path"]).alias("path"), x["value"].alias("value")))
 
 
-def parse_records(lines: DataFrame, schema: str) -> DataFrame:
+def parse_records(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
     """Records from a column ``value`` of JSON lines, batch or stream.
 
     Fields that the schema does not name, at any depth, go to
@@ -53,7 +53,7 @@ def parse_records(lines: DataFrame, schema: str) -> DataFrame:
     to value), a value of the wrong type leaves its field null and the line in
     ``_corrupt_record``. Blank lines are no records.
     """
-    fields = T.StructType.fromDDL(schema).fields
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
     with_corrupt = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     rows = lines.where(F.length(F.trim("value")) > 0)

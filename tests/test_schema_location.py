@@ -1,0 +1,93 @@
+import json
+
+import pytest
+from pyspark.sql import types as T
+
+from citeloom.sources.records import parse_records
+from citeloom.streaming.schema_location import SchemaLocation, inferred, ingest_evolving, merged_type, read_evolved
+
+FIRST = [{"id": "W1", "n": 1, "x": None}, {"id": "W2", "n": 2, "tags": ["a"]}]
+SECOND = [{"id": "W3", "n": 2.5, "who": {"name": "A"}, "tags": []}, {"id": "W4", "x": {"deep": [1]}}]
+THIRD = [{"id": "W5", "n": "many", "who": {"name": "B", "age": 7}, "new": True}, {"id": 6, "list": [{"a": 1}, {"b": "z"}]}]
+
+
+def put(folder, name, records):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in records))
+
+
+def plain(df):
+    rows = df.drop("_source_file").toJSON().collect()
+    return sorted(rows)
+
+
+@pytest.fixture
+def places(tmp_path):
+    return tmp_path / "in", f"{tmp_path}/table", f"{tmp_path}/check", f"{tmp_path}/schemas"
+
+
+def test_growing_records_equal_one_batch_read_at_the_end(spark, places):
+    source, table, check, schemas = places
+    for i, records in enumerate((FIRST, SECOND, THIRD)):
+        put(source, f"{i}.json", records)
+        ingest_evolving(spark, str(source), table, check, SchemaLocation(schemas))  # a restart each time
+    location = SchemaLocation(schemas)
+    assert list(location.versions()) == [1, 2, 3]
+    got = read_evolved(spark, table, location)
+    whole = parse_records(spark.read.text(str(source)), T.StructType([f for f in got.schema if not f.name.startswith("_")]))
+    assert plain(got.drop("_rescued_data", "_corrupt_record")) == plain(whole.drop("_rescued_data", "_corrupt_record"))
+    kinds = {f.name: f.dataType.simpleString() for f in got.schema}
+    assert kinds["n"] == "string" and kinds["who"] == "struct<name:string,age:bigint>" and kinds["list"] == "array<struct<a:bigint,b:string>>"
+    ingest_evolving(spark, str(source), table, check, location)
+    assert read_evolved(spark, table, location).count() == 6 and len(location.versions()) == 3  # nothing new
+
+
+def test_hints_override(spark, places):
+    source, table, check, schemas = places
+    put(source, "a.json", [{"id": 5, "payload": {"k": 1}, "n": 3}, {"id": 6, "payload": "text"}])
+    location = SchemaLocation(schemas, "payload string, n double, late string")
+    ingest_evolving(spark, str(source), table, check, location)
+    rows = read_evolved(spark, table, location).orderBy("id").collect()
+    assert [(r.payload, r.n, r.late) for r in rows] == [('{"k":1}', 3.0, None), ("text", None, None)]
+
+
+def test_rescued_fields_can_be_promoted(spark, places):
+    source, table, check, schemas = places
+    put(source, "a.json", [{"id": "W1"}])
+    location = SchemaLocation(schemas)
+    ingest_evolving(spark, str(source), table, check, location, "rescue")
+    put(source, "b.json", [{"id": "W2", "year": 1999, "note": "hi", "who": {"a": 1}}, {"id": "W3", "note": "ho"}])
+    ingest_evolving(spark, str(source), table, check, location, "rescue")
+    before = {r.id: r._rescued_data for r in read_evolved(spark, table, location).collect()}
+    assert json.loads(before["W2"]) == {"year": "1999", "note": "hi", "who": '{"a":1}'} and before["W1"] is None
+    location.promote("year", "int")
+    location.promote("note", "string")
+    put(source, "c.json", [{"id": "W4", "year": 2001, "odd": 1}])
+    ingest_evolving(spark, str(source), table, check, SchemaLocation(schemas), "rescue")
+    rows = {r.id: r for r in read_evolved(spark, table, location).collect()}
+    assert {k: (r.year, r.note) for k, r in rows.items()} == {"W1": (None, None), "W2": (1999, "hi"), "W3": (None, "ho"), "W4": (2001, None)}
+    assert json.loads(rows["W2"]._rescued_data) == {"who": '{"a":1}'} and rows["W3"]._rescued_data is None and json.loads(rows["W4"]._rescued_data) == {"odd": "1"}
+
+
+def test_odd_lines(spark, places):
+    source, table, check, schemas = places
+    put(source, "a.json", ["", "not json", "[1]", "3", '{"id": "W1", "big": 12345678901234567890123, "we`ird na.me": 1}', '{"id": null}'])
+    location = SchemaLocation(schemas)
+    ingest_evolving(spark, str(source), table, check, location)
+    got = read_evolved(spark, table, location)
+    assert got.where("id = 'W1'").count() == 1 and got.count() == 5
+    assert {f.name: f.dataType.simpleString() for f in got.schema}["big"] == "double"
+    assert read_evolved(spark, table + "x", SchemaLocation(schemas + "x")).collect() == []
+    with pytest.raises(ValueError, match="mode"):
+        ingest_evolving(spark, str(source), table, check, location, "other")
+
+
+def test_merging_types():
+    long, double, text, void = T.LongType(), T.DoubleType(), T.StringType(), T.NullType()
+    assert merged_type(long, double) == double and merged_type(void, long) == long and merged_type(long, T.BooleanType()) == text
+    a, b = T.StructType.fromDDL("a bigint, b array<bigint>"), T.StructType.fromDDL("c string, b array<double>")
+    assert merged_type(a, b).simpleString() == "struct<a:bigint,b:array<double>,c:string>"
+
+
+def test_inference_of_nothing(spark):
+    assert inferred(spark.createDataFrame([], "value string")) == T.StructType()
