@@ -53,7 +53,6 @@ TOPIC_PATHS = {
     "keywords": "keywords",
 }
 
-# Hops in order of preference, bounds of the gates, weights of the score's logarithms.
+# Hops in order of preference, bounds of the gates.
 HOPS = ("seed", "cited", "citing")
 LEAST_YEAR, ABSTRACT_OVER = 1800, 100
-SCORE_WEIGHTS = {"in_corpus_in_degree": 3.0, "cited_by_count": 1.0}

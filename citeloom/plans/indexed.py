@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citeloom.operators import ann, search
 from citeloom.plans import fixture as fx
 from citeloom.plans import medallion
+from citeloom.plans.incremental import GoldStore
 from citeloom.plans.queries import _KNN_SQL, _STATE_SQL, K, _query_vectors, query, snowball_sql
 from citeloom.scratch import scratch_path
 from citeloom.sources import service, sink
@@ -125,3 +126,19 @@ def evolving_ingest(spark, sf):
         ingest_evolving(spark, f"{path}/in", f"{path}/table", f"{path}/check", SchemaLocation(f"{path}/schemas"))
     rows = read_evolved(spark, f"{path}/table", SchemaLocation(f"{path}/schemas"))
     return rows.select("doc_id", "n_chars", "lang", F.col("origin.name").alias("origin_name"), F.col("origin.ratio").alias("ratio"))
+
+
+# Tables that follow changes --------------------------------------------------
+
+
+@query(f"WITH {fx.EDGES_SQL} SELECT work_id, in_degree AS in_corpus_in_degree, cited_by_count, fwci, publication_year, score AS foundational_score FROM metrics")
+def incremental_metrics(spark, sf):
+    """Paper metrics after two rounds of changes: works that come, change and go leave what a full build gives."""
+    b = fx.base(spark, sf).select("work_id", "cited_by_count", "fwci", "publication_year", "referenced_works", F.expr("CAST(substring(work_id, 2) AS LONG)").alias("n"))
+    store = GoldStore(spark, scratch_path(spark, "gold-store"), 16)
+    late = F.col("n") % 4 == 1
+    passing = b.where(F.col("n") % 9 == 0).withColumn("work_id", F.concat(F.lit("X"), "work_id"))
+    store.apply(b.where(~late).withColumn("referenced_works", F.when(F.col("n") % 10 == 0, F.slice("referenced_works", 1, 1)).otherwise(F.col("referenced_works"))).unionByName(passing))
+    store.apply(b.where(late | (F.col("n") % 10 == 0)), passing.select("work_id"))
+    out = store.metrics().withColumn("foundational_score", F.round("foundational_score", 6))
+    return out.select("work_id", "in_corpus_in_degree", "cited_by_count", "fwci", "publication_year", "foundational_score")

@@ -1,0 +1,69 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from citeloom.plans import medallion
+from citeloom.plans.incremental import GoldStore, changes_between
+
+SCHEMA = "work_id string, cited_by_count long, fwci double, publication_year int, referenced_works array<string>"
+
+
+def corpus(rng, ids):
+    return {i: (i, rng.randrange(50), rng.choice([None, 1.5, 0.2]), rng.choice([None, 2001]), rng.choices([f"W{k}" for k in range(60)] + ["outside", i], k=rng.randrange(6)) if rng.random() > 0.1 else []) for i in ids}
+
+
+def check(spark, store, works):
+    df = spark.createDataFrame(list(works.values()), SCHEMA)
+    graph = medallion.gold_citation_graph(medallion.silver_citation_edges(df), df)
+    want = medallion.gold_paper_metrics(df, graph)
+    columns = ("work_id", "cited_by_count", "fwci", "publication_year", "in_corpus_in_degree", "foundational_score")
+    assert sorted(map(tuple, store.graph().collect())) == sorted(map(tuple, graph.collect()))
+    assert sorted(map(repr, store.metrics().select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+
+
+def test_random_changes_equal_the_full_rebuild(spark, tmp_path):
+    rng = random.Random(4)
+    store = GoldStore(spark, f"file://{tmp_path}/gold", 8)
+    works = corpus(rng, [f"W{i}" for i in range(0, 40)])
+    store.apply(spark.createDataFrame(list(works.values()), SCHEMA))
+    check(spark, store, works)
+    for _ in range(3):
+        removed = rng.sample(sorted(works), 4) + ["never there"]
+        upserts = corpus(rng, rng.sample([f"W{i}" for i in range(60)], 9))
+        store.apply(spark.createDataFrame(list(upserts.values()), SCHEMA), spark.createDataFrame([(r,) for r in removed], "work_id string"))
+        works = {**{k: v for k, v in works.items() if k not in removed}, **upserts}
+        check(spark, store, works)
+    assert store.version() == 4
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    store = GoldStore(spark, f"file://{tmp_path}/gold", 16)
+    rows = [(f"W{i}", i, None, 2000, [f"W{i + 1}"]) for i in range(200)]
+    store.apply(spark.createDataFrame(rows, SCHEMA))
+    store.apply(spark.createDataFrame([("W5", 99, None, 2000, ["W6", "W7"])], SCHEMA))
+    wrote = store._manifest()
+    assert sum(v == 2 for v in wrote["works"].values()) <= 2 and sum(v == 2 for v in wrote["cites"].values()) == 1
+    degrees = {r.work_id: r.in_corpus_in_degree for r in store.metrics().collect()}
+    assert degrees["W7"] == 2 and degrees["W6"] == 1 and degrees["W0"] == 0 and len(degrees) == 200
+
+
+def test_a_change_that_fails_leaves_the_version(spark, tmp_path):
+    store = GoldStore(spark, f"file://{tmp_path}/gold", 4)
+    works = {"W1": ("W1", 1, None, None, ["W2"]), "W2": ("W2", 2, 0.5, 1990, ["W2", "W2"])}
+    store.apply(spark.createDataFrame(list(works.values()), SCHEMA))
+    broken = spark.createDataFrame([("W3", 1, None, None, ["W1"])], SCHEMA).withColumn("cited_by_count", F.raise_error(F.lit("planted")).cast("long"))
+    with pytest.raises(Exception, match="planted"):
+        store.apply(broken)
+    check(spark, store, works)
+    empty = spark.createDataFrame([], SCHEMA)
+    store.apply(empty)
+    check(spark, store, works)
+    store.apply(empty, spark.createDataFrame([("W1",), ("W2",), (None,)], "work_id string"))
+    assert store.metrics().count() == 0 and store.graph().count() == 0
+
+
+def test_changes_between_versions(spark):
+    old = spark.createDataFrame([("a", 1, None, None, ["x", "y"]), ("b", 1, None, None, []), ("c", 1, None, None, [])], SCHEMA)
+    new = spark.createDataFrame([("a", 1, None, None, ["y", "x"]), ("b", 2, None, None, []), ("d", 1, None, None, [])], SCHEMA)
+    assert sorted(map(tuple, changes_between(old, new).collect())) == [("b", "changed"), ("c", "removed"), ("d", "added")]
