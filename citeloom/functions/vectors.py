@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -40,14 +41,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hashing_embedder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """Unit vectors of hashed words: a stand-in where no model can be loaded."""
+    """Unit vectors of hashed words: a stand-in where no model can be loaded.
+
+    Words are divided by ASCII white space, A-Z is lower-cased; the first 32
+    bits of a word's MD5 say its place and, by the highest, its sign.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size), dtype=np.float32)
         for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split():
-                h = crc32(word.encode("utf-8", "replace"))
-                row[h % size] += 1.0 if h >> 31 else -1.0
+            for word, n in Counter(text.encode("utf-8", "replace").lower().split()).items():
+                h = int.from_bytes(md5(word, usedforsecurity=False).digest()[:4], "big")
+                row[h % size] += n if h >> 31 else -n
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 

@@ -248,16 +248,26 @@ def unembedded_batch(spark, sf):
 
 
 @query(f"""WITH {_CHUNKS_SQL.format(source="(SELECT * FROM documents WHERE 'W' || doc_id NOT IN (SELECT 'W' || (vec_id // 2) FROM embeddings))")}
-  SELECT 'W' || (vec_id // 2) || ':' || (vec_id % 2) AS embedding_id, md5('') AS chunk_md5, 64 AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings
-  UNION ALL SELECT work_id || ':' || k, md5(piece), 64, NULL FROM chunks""")
+  , words AS (
+    SELECT work_id, k, md5(unnest(regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'))) AS h FROM chunks
+  ), places AS (
+    SELECT work_id, k, ((instr('0123456789abcdef', h[7]) - 1) * 16 + instr('0123456789abcdef', h[8]) - 1) % 64 AS j, sum(CASE WHEN h[1] >= '8' THEN 1 ELSE -1 END) AS v FROM words GROUP BY ALL
+  ), made AS (
+    SELECT work_id, k, sum(CASE WHEN v > 0 THEN j + 1 ELSE 0 END) AS above, sum(CASE WHEN v < 0 THEN j + 1 ELSE 0 END) AS below FROM places GROUP BY work_id, k
+  ), had AS (
+    SELECT vec_id, list_sum([CASE WHEN embedding[j] > 0 THEN j ELSE 0 END for j in range(1, 65)]) AS above, list_sum([CASE WHEN embedding[j] < 0 THEN j ELSE 0 END for j in range(1, 65)]) AS below FROM embeddings
+  )
+  SELECT 'W' || (vec_id // 2) || ':' || (vec_id % 2) AS embedding_id, md5('') AS chunk_md5, 64 AS dims, CAST(above AS BIGINT) AS above, CAST(below AS BIGINT) AS below FROM had
+  UNION ALL SELECT work_id || ':' || k, md5(piece), 64, CAST(coalesce(above, 0) AS BIGINT), CAST(coalesce(below, 0) AS BIGINT) FROM chunks LEFT JOIN made USING (work_id, k)""")
 def refresh_embeddings(spark, sf):
     vectors = fx.chunk_vectors(spark, sf).select(F.concat_ws(":", "work_id", F.col("chunk_index").cast("string")).alias("embedding_id"), "work_id", "chunk_index", F.lit("").alias("chunk_text"), "embedding")
     done = vectors.select("work_id", F.lit("2024-01-01").cast("timestamp").alias("embedded_at")).distinct()
     docs = fx.table(spark, sf, "documents").select(F.concat(F.lit("W"), "doc_id").alias("work_id"), F.col("text").alias("narrative_abstract"))
     now = F.lit("2025-01-01").cast("timestamp")
     new, _ = search.refresh_embeddings(docs.join(done, "work_id", "left"), vectors, hashing_embedder, now)
-    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4)  # of the vectors that were there
-    return new.select("embedding_id", F.md5("chunk_text").alias("chunk_md5"), F.size("embedding").alias("dims"), F.when(F.col("chunk_text") == "", total).alias("total"))
+    places = lambda holds: F.aggregate(F.transform("embedding", lambda x, i: F.when(holds(x), i + 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    above, below = places(lambda x: x > 0).alias("above"), places(lambda x: x < 0).alias("below")  # which components are positive, and negative
+    return new.select("embedding_id", F.md5("chunk_text").alias("chunk_md5"), F.size("embedding").alias("dims"), above, below)
 
 
 # Graph -------------------------------------------------------------------
