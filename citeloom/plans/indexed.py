@@ -6,11 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from citeloom.operators import ann, search
+from citeloom.operators import ann, levels, postings, search
 from citeloom.plans import fixture as fx
 from citeloom.plans import medallion
 from citeloom.plans.incremental import GoldStore
-from citeloom.plans.queries import _KNN_SQL, _STATE_SQL, K, _query_vectors, query, snowball_sql
+from citeloom.plans.queries import _KNN_SQL, _STATE_SQL, TOPIC_WORDS_SQL, K, _query_vectors, query, snowball_sql
 from citeloom.scratch import scratch_path
 from citeloom.sources import service, sink
 from citeloom.streaming.progress import stream_progress
@@ -142,3 +142,49 @@ def incremental_metrics(spark, sf):
     store.apply(b.where(late | (F.col("n") % 10 == 0)), passing.select("work_id"))
     out = store.metrics().withColumn("foundational_score", F.round("foundational_score", 6))
     return out.select("work_id", "in_corpus_in_degree", "cited_by_count", "fwci", "publication_year", "foundational_score")
+
+
+# Topic search by an inverted index ------------------------------------------------
+
+_ASKED = ("the and", "les des", "der die", "que los", "and der", "der", "no such words")
+_TOPICS_SQL = TOPIC_WORDS_SQL.replace("'and der'", ", ".join(f"'{t}'" for t in _ASKED[4:]))
+
+
+def _topic_index(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    path = scratch_path(spark, "topic-index")
+    works = docs.select(F.concat(F.lit("W"), "doc_id").alias("work_id"), F.col("n_chars").cast("long").alias("cited_by_count"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("narrative_abstract"))
+    postings.build_postings(works, path)
+    return path, spark.createDataFrame([(t,) for t in _ASKED], "topic string")
+
+
+@query(_TOPICS_SQL)
+def topic_index_search(spark, sf):
+    path, topics = _topic_index(spark, sf)
+    return postings.find_topics(spark, path, topics)
+
+
+@query(f"SELECT topic, work_id, cited_by_count FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cited_by_count DESC NULLS LAST, work_id) AS rn FROM ({_TOPICS_SQL})) WHERE rn <= 20")
+def topic_index_most_cited(spark, sf):
+    """The 20 most cited works of each topic, by stretches of the rarest word's list."""
+    path, topics = _topic_index(spark, sf)
+    return postings.find_topics(spark, path, topics, 20)
+
+
+# Levels of the whole graph -----------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {fx.EDGES_SQL}, reach(a, b) AS (
+  SELECT citing, cited FROM graph UNION SELECT a, cited FROM reach JOIN graph ON b = citing
+), looped AS (SELECT a FROM reach WHERE a = b), blocked AS (
+  SELECT a FROM looped UNION SELECT a FROM reach WHERE b IN (SELECT a FROM looped)
+), walk(w, d) AS (
+  SELECT work_id, 0 FROM works WHERE work_id NOT IN (SELECT a FROM blocked)
+  UNION SELECT citing, d + 1 FROM walk JOIN graph ON cited = w WHERE citing NOT IN (SELECT a FROM blocked)
+)
+SELECT work_id, CAST(max(d) AS INTEGER) AS level, bool_or(b.a IS NOT NULL) AS in_citation_cycle
+FROM works LEFT JOIN walk ON w = work_id LEFT JOIN (SELECT DISTINCT a FROM blocked) b ON b.a = work_id GROUP BY work_id""")
+def graph_levels(spark, sf):
+    """How deep the prerequisites of each work of the corpus go, and which works a cycle holds up."""
+    b = fx.base(spark, sf)
+    return levels.work_levels(b, fx.graph(b))

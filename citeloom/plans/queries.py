@@ -555,9 +555,12 @@ def citation_snowball(spark, sf):
     return _ball(spark, sf)
 
 
-@query(r"""WITH d AS (SELECT 'W' || doc_id AS work_id, n_chars, list_distinct(string_split_regex(lower(substring(text, 1, 60) || ' ' || text), '[^\p{L}\p{N}]+')) AS w FROM documents),
+TOPIC_WORDS_SQL = r"""WITH d AS (SELECT 'W' || doc_id AS work_id, n_chars, list_distinct(string_split_regex(lower(substring(text, 1, 60) || ' ' || text), '[^\p{L}\p{N}]+')) AS w FROM documents),
   t AS (SELECT unnest(['the and', 'les des', 'der die', 'que los', 'and der']) AS topic)
-  SELECT topic, work_id, CAST(n_chars AS BIGINT) AS cited_by_count FROM d, t WHERE list_has_all(w, string_split(topic, ' '))""")
+  SELECT topic, work_id, CAST(n_chars AS BIGINT) AS cited_by_count FROM d, t WHERE list_has_all(w, string_split(topic, ' '))"""
+
+
+@query(TOPIC_WORDS_SQL)
 def topic_search(spark, sf):
     docs = fx.table(spark, sf, "documents")
     works = docs.select(F.concat(F.lit("W"), "doc_id").alias("work_id"), F.col("n_chars").alias("cited_by_count"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("narrative_abstract"))
