@@ -17,12 +17,12 @@ ALPHA = 0.7
 #: Share of all tokens that the sample should hold.
 KEEP = 0.7
 #: Fitting ends when no share is off its target by more than TOLERANCE, or after so many steps; a share off by more than UNMET is an error then.
-TOLERANCE, UNMET, ROUNDS_A_STEP, MAX_STEPS = 1e-6, 1e-3, 2, 60
+TOLERANCE, UNMET, ROUNDS_A_STEP, MAX_STEPS = 1e-6, 1e-4, 2, 60
 #: Up to so many cells (of some 100 bytes each) are fitted without a shuffle.
 ONE_TASK = 100_000
 SEED = 7
-#: Topics are learnt over so many hashed terms, in so many rounds.
-TOPICS, TERMS, LEARNING_ROUNDS = 6, 512, 3
+#: Topics are learnt over so many hashed terms, until a round raises the likelihood by less than this share, or so often.
+TOPICS, TERMS, LEARNING_GAIN, LEARNING_ROUNDS = 6, 512, 1e-3, 12
 
 
 def _words(text: Column) -> Column:
@@ -43,7 +43,7 @@ def terms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Topics:
-    """log p(term | topic) and log p(topic) of a mixture in which each document has one topic."""
+    """log p(term | topic), times the weight of the term, and log p(topic) of a mixture in which each document has one topic."""
 
     terms: list[list[float]]
     topics: list[float]
@@ -67,30 +67,39 @@ class Topics:
 def learn_topics(rows: DataFrame, n: int = TOPICS) -> Topics:
     """Topics of all documents by their ``terms``: a mixture of unigrams over hashed terms, fitted by hard EM.
 
-    Documents begin in the topic that the hash of their rarest term names.
-    Each round counts (topic, term), a table of a bounded size, and assigns
-    each document inside its row; documents are not shuffled.
+    A term weighs log(documents / documents with it), by the largest of these:
+    what stands in all documents of a language says little. Documents begin in
+    the topic that the hash of their rarest term names. Each round counts
+    (topic, term), a table of a bounded size, and assigns each document inside
+    its row; documents are not shuffled. Rounds end when the weighted
+    likelihood grows by less than LEARNING_GAIN of it.
     """
-    common = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()  # TERMS rows at most
-    df = [0] * TERMS
-    for r in common:
+    seen = F.concat("terms", F.array(F.lit(TERMS)))  # beyond the last term: the documents themselves
+    df = [0] * (TERMS + 1)
+    for r in rows.select(F.explode(seen).alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # TERMS + 1 rows at most
         df[r.t] = r.df
+    rarity = [log((df[TERMS] + 1) / (x + 0.5)) for x in df[:TERMS]]
+    weights = [x / max(rarity) for x in rarity]
     known = F.split(F.lit(",".join(map(str, df))), ",").cast("array<bigint>")
     rarest = F.array_min(F.transform("terms", lambda t: F.named_struct(F.lit("df"), F.get(known, t), F.lit("h"), F.xxhash64(t))))
     topic = F.concat(F.lit("t"), F.coalesce(F.pmod(rarest["h"], F.lit(n)), F.lit(0)).cast("string"))
-    model = None
+    model, reached = None, float("-inf")
     for _ in range(LEARNING_ROUNDS):
-        seen = F.concat("terms", F.array(F.lit(TERMS)))  # beyond the last term: the documents themselves
         # Inside the array, so that a topic is found once a document and not once a term.
         pairs = let(topic, lambda k: F.transform(seen, lambda t: F.named_struct(F.lit("topic"), k, F.lit("t"), t)))
         counts = rows.select(F.inline(pairs)).groupBy("topic", "t").agg(F.count("*").alias("n")).collect()  # n * (TERMS + 1) rows at most
-        table_, sizes = [[0.5] * TERMS for _ in range(n)], [1] * n
+        found, sizes = [[0] * TERMS for _ in range(n)], [0] * n
         for r in counts:
             if r.t < TERMS:
-                table_[int(r.topic[1:])][r.t] += r.n
+                found[int(r.topic[1:])][r.t] += r.n
             else:
                 sizes[int(r.topic[1:])] += r.n
-        model = Topics([_logs(row) for row in table_], _logs(sizes))
+        chances = [_logs([w * (x + 0.5) for w, x in zip(weights, row, strict=True)]) for row in found]
+        model = Topics([[w * x for w, x in zip(weights, row, strict=True)] for row in chances], _logs([x + 1 for x in sizes]))
+        likely = sum(x * y for row, times in zip(model.terms, found, strict=True) for x, y in zip(row, times, strict=True)) + sum(x * y for x, y in zip(model.topics, sizes, strict=True))
+        if likely - reached < LEARNING_GAIN * abs(likely):
+            break
+        reached = likely
         topic = model.of(F.col("terms"))
     return model
 
@@ -104,27 +113,36 @@ def _metadata(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang", *(["topic"] if "topic" in docs.columns else []))]
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """Adds ``weight`` to ``cells`` (source, lang, topic, tokens): token weights, sum 1, with the target marginals.
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA, keep: float | None = None) -> DataFrame:
+    """Adds ``weight`` and ``off`` to ``cells`` (source, lang, topic, tokens): token weights, sum 1, with the target marginals.
 
-    ``targets`` gives shares by category for some or all dimensions; others
-    aim at the marginals of tokens to the power ``alpha``, which can always be
-    met together. Categories that a given mapping lacks get the share 0;
-    shares are scaled to sum 1 over those present.
+    With ``keep`` no weight exceeds tokens / (keep * all tokens): a sample of
+    that share of the tokens can then have just these marginals. ``targets``
+    gives shares by category for some or all dimensions; others aim at the
+    marginals of tokens to the power ``alpha``, under the same bound, which
+    can always be met together. Categories that a given mapping lacks get the
+    share 0; shares are scaled to sum 1 over those present. ``off`` is what
+    the worst share of the cell's three categories misses.
 
     Each round scales the weights to each dimension in turn, by sums that are
-    grouped by its categories; ROUNDS_A_STEP rounds are one job and a written
-    table. Up to ONE_TASK cells are dealt to one task, more are shuffled by
-    the dimension at hand. If the targets cannot be met together, ValueError
-    says by how much.
+    grouped by its categories; the factor of a category is the one at which
+    its weights, bounded, reach the target. ROUNDS_A_STEP rounds are one job
+    and a written table. Up to ONE_TASK cells are dealt to one task, more are
+    shuffled by the dimension at hand. If given targets cannot be met together,
+    ValueError says by how much. Without any, the bounded powers themselves,
+    which have the marginals, stand in for weights that come to no end.
     """
     c = cells.where("tokens > 0").select(*DIMENSIONS, "tokens")
-    n, total, tempered = c.agg(F.count("*"), F.sum("tokens"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(alpha)))).first()
+    n, total = c.agg(F.count("*"), F.sum("tokens")).first()
     if not n:
-        return c.withColumn("weight", F.lit(0.0))
+        return c.withColumns({"weight": F.lit(0.0), "off": F.lit(0.0)})
+    c = c.withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(alpha)))
+    c = calibrate(c, keep).withColumn("_aim", F.col("prob") * F.col("tokens")) if keep else c.withColumn("_aim", F.col("weight"))
     if n <= ONE_TASK:
         c = c.coalesce(1).sortWithinPartitions(*DIMENSIONS)
-    c = c.withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    aimed = c.agg(F.sum("_aim")).first()[0]
+    bound = F.col("tokens") / F.lit(float(total) * keep) if keep else F.lit(float("inf"))
+    c = c.select(*DIMENSIONS, "tokens", (F.col("_aim") / F.lit(aimed)).alias("_aim"), bound.alias("_most"), (F.col("tokens") / F.lit(float(total))).alias("_free"))
     for d in DIMENSIONS:
         if targets and d in targets:
             pairs = [x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))]
@@ -134,22 +152,44 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
                 raise ValueError(f"no share for any {d} that occurs")
             c = c.withColumn(f"_t_{d}", aim / F.lit(whole))
         else:
-            c = c.withColumn(f"_t_{d}", F.sum(F.pow(F.col("tokens").cast("double"), F.lit(alpha))).over(Window.partitionBy(d)) / F.lit(tempered))
-    off = 1.0
+            c = c.withColumn(f"_t_{d}", F.sum("_aim").over(Window.partitionBy(d)))
     for _ in range(MAX_STEPS):
         for _ in range(ROUNDS_A_STEP):
             for d in DIMENSIONS:
-                now = F.sum("weight").over(Window.partitionBy(d))
-                c = c.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_t_{d}") / now).otherwise(F.lit(0.0)))
-        share = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"_t_{d}")) for d in DIMENSIONS]
-        c = materialize(c.withColumn("_off", F.greatest(*share)), "rake")
-        off = c.agg(F.max("_off")).first()[0]
+                c = _scaled(c, d, bool(keep))
+        c = materialize(c.withColumn("weight", F.least("_free", "_most")).withColumn("off", _missed()), "rake")
+        off = c.agg(F.max("off")).first()[0]
         if off < TOLERANCE:
             break
-        c = (c.coalesce(1) if n <= ONE_TASK else c).drop("_off")
-    if off <= UNMET:
-        return c.select(*DIMENSIONS, "tokens", "weight")
-    raise ValueError(f"the target shares cannot be met together: one is off by {off:.3g} after {MAX_STEPS * ROUNDS_A_STEP} rounds")
+        c = c.coalesce(1) if n <= ONE_TASK else c
+    if off > UNMET and targets:
+        raise ValueError(f"the target shares cannot be met together: one is off by {off:.3g} after {MAX_STEPS * ROUNDS_A_STEP} rounds" + (f", of a sample of {keep:g} of the tokens" if keep else ""))
+    if off > UNMET:
+        c = c.withColumn("weight", F.col("_aim")).withColumn("off", _missed())
+    return c.select(*DIMENSIONS, "tokens", "weight", "off")
+
+
+def _scaled(c: DataFrame, d: str, bounded: bool) -> DataFrame:
+    """Multiplies the free weights of each category of ``d`` so that what is below the bounds sums up to the target.
+
+    Bounded sums are the least, over all prefixes of the cells by bound / free
+    weight, of the prefix's bounds and the rest's scaled weights. So the factor
+    is the largest of those that each prefix asks for.
+    """
+    whole = Window.partitionBy(d)
+    rest = F.sum("_free").over(whole)
+    factor = F.when(rest > 0, F.col(f"_t_{d}") / rest)
+    if bounded:
+        by_room = whole.orderBy(F.when(F.col("_free") > 0, F.col("_most") / F.col("_free")).asc_nulls_last(), *DIMENSIONS)
+        c = c.withColumn("_held", F.sum("_most").over(by_room.rowsBetween(Window.unboundedPreceding, 0)))
+        c = c.withColumn("_rest", F.sum("_free").over(by_room.rowsBetween(1, Window.unboundedFollowing)))
+        c = c.withColumn("_factor", F.when(F.col("_rest") > 0, (F.col(f"_t_{d}") - F.col("_held")) / F.col("_rest")))
+        factor = F.greatest(factor, F.max("_factor").over(whole))
+    return c.withColumn("_free", F.col("_free") * F.coalesce(factor, F.lit(0.0))).drop("_held", "_rest", "_factor")
+
+
+def _missed() -> Column:
+    return F.greatest(*[F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"_t_{d}")) for d in DIMENSIONS])
 
 
 def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -173,7 +213,15 @@ def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
             break
         factor = grown
     prob = F.when(F.col("weight") > 0, F.least(F.lit(1.0), ratio * F.lit(factor))).otherwise(F.lit(0.0))
-    return raked.select(*DIMENSIONS, "tokens", "weight", prob.alias("prob"))
+    return raked.select(*raked.columns, prob.alias("prob"))
+
+
+def shares(cells: DataFrame) -> DataFrame:
+    """(dimension, category, tokens, share, target, expected) of calibrated cells: a category's share of all tokens, of the weights and of the sample's expected tokens."""
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in DIMENSIONS])
+    sums = cells.select(F.explode(each).alias("k"), "tokens", "weight", (F.col("prob") * F.col("tokens")).alias("kept")).groupBy("k.dimension", "k.category").agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("target"), F.sum("kept").alias("kept"))
+    of = lambda c: F.col(c) / F.sum(c).over(Window.partitionBy("dimension"))
+    return sums.select("dimension", "category", "tokens", of("tokens").alias("share"), "target", of("kept").alias("expected"))
 
 
 def chance(doc_id: Column, seed: int = SEED) -> Column:
@@ -181,16 +229,23 @@ def chance(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mixing_plan(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> tuple[DataFrame, DataFrame, Topics | None]:
-    """(rows, cells, topics): doc_id, dimensions and tokens of each document; the calibrated cells; the topics, if they are learnt."""
+def mixing_plan(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> tuple[DataFrame, DataFrame]:
+    """(rows, cells): doc_id, row keys, dimensions and tokens of each document; the calibrated cells."""
     text = F.coalesce(F.col("text"), F.lit(""))
     learnt = "topic" not in docs.columns
-    rows = materialize(docs.select("doc_id", *_metadata(docs), tokens(text).alias("n_tokens"), *([terms(text).alias("terms")] if learnt else [])), "mix-rows")
-    topics = learn_topics(rows) if learnt else None
+    rows = docs.select("doc_id", *row_keys(docs), *_metadata(docs), tokens(text).alias("n_tokens"), *([terms(text).alias("terms")] if learnt else []))
+    rows = materialize(rows, "mix-rows")
     if learnt:
-        rows = materialize(rows.select("doc_id", "source", "lang", topics.of(F.col("terms")).alias("topic"), "n_tokens"), "mix-rows")
+        topic = learn_topics(rows).of(F.col("terms"))
+        rows = materialize(rows.withColumn("topic", topic).drop("terms"), "mix-rows")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-tokens")
-    return rows, materialize(calibrate(materialize(rake(cells, targets), "mix-raked"), keep), "mix-cells"), topics
+    return rows, materialize(calibrate(materialize(rake(cells, targets, keep=keep), "mix-raked"), keep), "mix-cells")
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes, 128 bits, of what decides a row's fate: its id, metadata and text."""
+    told = [F.col("doc_id"), *_metadata(docs), F.col("text")]
+    return [F.xxhash64(F.lit(k), *told).alias(f"_mix_key{k}") for k in (0, 1)]
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
@@ -204,11 +259,12 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     Null metadata are the category ''; null and blank texts have no tokens,
     weight 0 and probability 0 and are not kept; very long texts count whole;
     repeated rows share their fate; of topics that are equally likely the
-    first is taken; targets that cannot be met together are a ValueError; an
-    empty table gives no rows; only doc_id, text, source, lang and, where
+    first is taken; targets that cannot be met together by a sample of ``keep``
+    of the tokens, in which nothing is taken twice, are a ValueError; an empty
+    table gives no rows; only doc_id, text, source, lang and, where
     present, topic are read, whatever other columns are named.
     """
-    rows, cells, _ = mixing_plan(docs, targets, keep)
+    rows, cells = mixing_plan(docs, targets, keep)
     out = rows.join(broadcast_if_small(cells), list(DIMENSIONS), "left")
     share = F.coalesce(F.col("weight") * F.col("n_tokens") / F.col("tokens"), F.lit(0.0))
     prob = F.when(F.col("n_tokens") > 0, F.coalesce(F.col("prob"), F.lit(0.0))).otherwise(F.lit(0.0))
@@ -222,13 +278,11 @@ def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | Non
     (and all rows with a null id in one cell) share their fate, and an empty
     table stays empty; columns of any name pass through.
     """
-    _, cells, topics = mixing_plan(docs, targets, keep)
-    names = [f"_mix_{d}" for d in DIMENSIONS]
-    right = cells.where("prob > 0").select(*[F.col(d).alias(n) for d, n in zip(DIMENSIONS, names, strict=True)], F.col("prob").alias("_mix_prob"))
-    # Never null, so that no filter on the join's keys finds the topics a second time.
-    own = _metadata(docs) + ([F.coalesce(topics.of(terms(F.coalesce(F.col("text"), F.lit("")))), F.lit(""))] if topics else [])
-    left = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns(dict(zip(names, own, strict=True)))
-    return left.join(broadcast_if_small(right), names).where(chance(F.col("doc_id")) < F.col("_mix_prob")).select(*docs.columns)
+    rows, cells = mixing_plan(docs, targets, keep)
+    keys = ["_mix_key0", "_mix_key1"]
+    kept = rows.where("n_tokens > 0").join(broadcast_if_small(cells.select(*DIMENSIONS, "prob")), list(DIMENSIONS)).where(chance(F.col("doc_id")) < F.col("prob"))
+    marked = docs.withColumns(dict(zip(keys, row_keys(docs), strict=True)))
+    return marked.join(kept.select(*keys), keys, "left_semi").select(*docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,26 +5,37 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.llm import mixing
-from citeloom.llm.mixing import ALPHA, calibrate, learn_topics, mix, rake, sample_mix, terms
+from citeloom.llm.mixing import ALPHA, calibrate, learn_topics, mix, rake, sample_mix, shares, terms
 
 CELLS = "source string, lang string, topic string, tokens long"
 
 
-def brute_rake(cells, targets=None, rounds=400):
+def reach(target, parts):
+    """The factor at which sum(min(bound, factor * weight)) is the target, by bisection."""
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(most, mid * free) for free, most in parts) < target else (low, mid)
+    return high
+
+
+def brute_rake(cells, targets=None, rounds=400, keep=None):
     total = sum(c[3] for c in cells)
-    w = {c[:3]: c[3] / total for c in cells}
+    most = {c[:3]: c[3] / (keep * total) if keep else float("inf") for c in cells}
+    power = {c[:3]: c[3] ** ALPHA for c in cells}
+    scale = reach(1.0, [(power[k], most[k]) for k in power])
+    aimed = {k: min(most[k], scale * power[k]) for k in power}
+    free = {c[:3]: c[3] / total for c in cells}
     for _ in range(rounds):
         for k, d in enumerate(("source", "lang", "topic")):
             own = defaultdict(float)
-            for c in cells:
-                own[c[k]] += c[3] ** ALPHA
+            for key, x in aimed.items():
+                own[key[k]] += x
             aim = {v: (targets[d].get(v, 0.0) if targets and d in targets else own[v]) for v in own}
             norm = sum(aim.values())
-            now = defaultdict(float)
-            for key, x in w.items():
-                now[key[k]] += x
-            w = {key: x * aim[key[k]] / norm / now[key[k]] if now[key[k]] else 0.0 for key, x in w.items()}
-    return w
+            factor = {v: reach(aim[v] / norm, [(x, most[key]) for key, x in free.items() if key[k] == v]) for v in own} if aim else {}
+            free = {key: x * factor[key[k]] for key, x in free.items()}
+    return {key: min(most[key], x) for key, x in free.items()}
 
 
 def test_rake_meets_marginals(spark):
@@ -37,12 +48,34 @@ def test_rake_meets_marginals(spark):
             assert got[k] == pytest.approx(v, abs=1e-5)
 
 
+def test_bounded_weights_meet_marginals(spark, monkeypatch):
+    """Small cells that the targets ask more of than they hold: bounds hold, marginals too, weights as by bisection."""
+    cells = [(s, x, t, 100 * (i + 1) ** 3 + 9 * j + 50 * k * (i + 1)) for i, s in enumerate("abcd") for j, x in enumerate(("en", "de", "fr")) for k, t in enumerate(("p", "q"))]
+    total, keep = sum(c[3] for c in cells), 0.6
+    frame = spark.createDataFrame(cells, CELLS)
+    for targets in (None, {"lang": {"en": 0.5, "de": 0.3, "fr": 0.2}}):
+        raked = rake(frame, targets, keep=keep)
+        got = {(r.source, r.lang, r.topic): (r.weight, r.tokens) for r in raked.collect()}
+        want = brute_rake(cells, targets, 60, keep)
+        assert all(got[k][0] == pytest.approx(v, abs=1e-5) for k, v in want.items())
+        assert all(w <= n / (keep * total) * (1 + 1e-9) for w, n in got.values())
+        assert any(w == pytest.approx(n / (keep * total), rel=1e-9) for w, n in got.values())
+        reported = shares(calibrate(raked, keep)).collect()
+        assert len(reported) == 9 and all(r.expected == pytest.approx(r.target, abs=2e-6) for r in reported)
+        assert targets is None or {r.category: round(r.expected, 5) for r in reported if r.dimension == "lang"} == targets["lang"]
+    monkeypatch.setattr(mixing, "MAX_STEPS", 3)
+    with pytest.raises(ValueError, match="of a sample of 0.6 of the tokens"):
+        rake(frame, {"source": {"a": 0.9, "d": 0.1}}, keep=keep)
+
+
 def test_one_task_or_many(spark, monkeypatch):
     cells = [(f"s{i % 7}", f"l{i % 3}", f"t{i % 2}", 10 + i * i) for i in range(42)]
     frame = spark.createDataFrame(cells, CELLS)
-    one = {r[:3]: r.weight for r in rake(frame).collect()}
-    monkeypatch.setattr(mixing, "ONE_TASK", 3)
-    assert {r[:3]: pytest.approx(r.weight, abs=1e-12) for r in rake(frame).collect()} == one
+    for keep in (None, 0.6):
+        monkeypatch.setattr(mixing, "ONE_TASK", 100)
+        one = {r[:3]: r.weight for r in rake(frame, keep=keep).collect()}
+        monkeypatch.setattr(mixing, "ONE_TASK", 3)
+        assert {r[:3]: pytest.approx(r.weight, abs=1e-12) for r in rake(frame, keep=keep).collect()} == one
 
 
 def test_targets_that_cannot_be_met_are_an_error(spark, monkeypatch):
@@ -86,7 +119,12 @@ def test_whole_table(docs):
     for r in rows:
         sums[r.source, r.lang, r.topic] += r.n_tokens
         weights[r.source, r.lang, r.topic] += r.weight
-    want = brute_rake([(*k, n) for k, n in sums.items() if n])
+    total = sum(sums.values())
+    want = brute_rake([(*k, n) for k, n in sums.items() if n], rounds=25, keep=0.7)
+    for k, d in enumerate(("source", "lang", "topic")):
+        for v in {key[k] for key in sums}:
+            expected = sum(r.prob * r.n_tokens for r in rows if r[d] == v) / (0.7 * total)
+            assert expected == pytest.approx(sum(x for key, x in want.items() if key[k] == v), abs=1e-4), (d, v)
     assert all(weights[k] == pytest.approx(v, abs=1e-5) for k, v in want.items())
     assert len({r.topic for r in rows}) > 1
     expected = sum(r.prob * r.n_tokens for r in rows) / sum(r.n_tokens for r in rows)
