@@ -48,8 +48,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of about 70 % of all tokens stays, drawn with probabilities raked to source, language and topic shares.
 
-    Probabilities end at 1, so what is too rare for its share stays whole and
-    still falls short of it.
+    The shares are those that a sample of this size can have when nothing is
+    taken twice, so the sample has them in expectation.
 
     Null and blank texts have no tokens and go; null metadata are a category
     of their own; repeated rows share their fate, as the id decides. Very long
