@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.plans.medallion import SERVED
-from citeloom.ranks import global_rank
+from citeloom.ranks import broadcast_if_small, global_rank
 from citeloom.schemas import PROGRESS_STATES
+from citeloom.scratch import materialize
 
 #: What a sync overwrites.
 PAPER_FIELDS = [c for c in SERVED if c != "work_id"]
@@ -67,11 +68,27 @@ def fold_membership(log: DataFrame) -> DataFrame:
     """Collection members from a log (seq, op: add or remove, collection_id, work_id, ts).
 
     Adding what is there keeps the first time; removing and adding again
-    starts anew.
+    starts anew. One aggregation, combined before the shuffle, tells the time
+    of all members but those that were there before their last removal and
+    came back after it; only their rows are looked at again, and they are
+    joined to the log without a shuffle of it while they are few.
     """
-    removed = log.groupBy("collection_id", "work_id").agg(F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("_gone"))
-    live = log.where("op = 'add'").join(removed, ["collection_id", "work_id"]).where("_gone IS NULL OR seq > _gone")
-    return live.groupBy("collection_id", "work_id").agg(F.min_by("ts", "seq").alias("added_at"))
+    keys = ["collection_id", "work_id"]
+    added = F.when(F.col("op") == "add", F.col("seq"))
+    ends = materialize(
+        log.where("op IN ('add', 'remove')").groupBy(*keys).agg(
+            F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("_gone"),
+            F.min(added).alias("_first"),
+            F.max(added).alias("_last"),
+            F.min_by("ts", added).alias("added_at"),
+        ).where("_last IS NOT NULL AND (_gone IS NULL OR _last > _gone)"),
+        "membership",
+    )
+    back = "_gone IS NOT NULL AND _first <= _gone"
+    again = broadcast_if_small(ends.where(back).select(*[F.col(k).alias(f"_{k}") for k in keys], "_gone"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    since = log.where("op = 'add'").join(again, [*same, F.col("seq") > F.col("_gone")]).groupBy(*keys).agg(F.min_by("ts", "seq").alias("added_at"))
+    return ends.where(f"NOT ({back})").select(*keys, "added_at").unionByName(since)
 
 
 def keep_first(log: DataFrame, keys: list[str]) -> DataFrame:

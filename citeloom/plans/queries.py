@@ -644,3 +644,20 @@ _PAYLOAD_SQL = """'{"id":"https://works.example/' || work_id || '","display_name
 @query(f"WITH {fx.WORKS_SQL} SELECT work_id, {_PAYLOAD_SQL} AS payload FROM works")
 def work_payloads(spark, sf):
     return fx.works(spark, sf).select("work_id", "payload")
+
+
+@query(f"""WITH {fx.WORKS_SQL}, p AS (SELECT work_id, {_PAYLOAD_SQL} AS payload FROM works)
+  SELECT work_id, json_extract_string(payload, '$.display_name') AS title, json_extract_string(payload, '$.primary_topic.field.display_name') AS field,
+         json_extract_string(payload, '$.primary_topic.domain.display_name') AS domain, CAST(json_extract(payload, '$.open_access.is_oa') AS BOOLEAN) AS is_oa FROM p""")
+def payload_fields(spark, sf):
+    """Payloads read back as typed VARIANT fields."""
+    paths = {"title": ("$.display_name", "string"), "field": ("$.primary_topic.field.display_name", "string"), "domain": ("$.primary_topic.domain.display_name", "string"), "is_oa": ("$.open_access.is_oa", "boolean")}
+    return tx.payload_fields(fx.works(spark, sf).select("work_id", "payload"), paths)
+
+
+@query("""WITH e AS (SELECT event_id, props, unnest(json_keys(props)) AS field FROM events)
+  SELECT event_id, field, md5(CAST(json_extract(props, '$."' || field || '"') AS VARCHAR)) AS value_md5 FROM e""")
+def payload_entries(spark, sf):
+    """Each top-level field of each event's payload, by an explode of its VARIANT."""
+    events = fx.table(spark, sf, "events").select("event_id", "props")
+    return tx.payload_entries(events, "event_id", "props").select("event_id", "field", F.md5("json").alias("value_md5"))

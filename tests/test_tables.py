@@ -94,6 +94,20 @@ def test_progress_fold(spark, sf):
     assert sorted(ingest.progress_of(frame.union(frame)).collect()) == sorted(folds.fold_progress(frame).collect())
 
 
+def test_membership_of_random_logs(spark):
+    rng = random.Random(12)
+    log = [(i, rng.choice(["add", "add", "remove", "rename"]), rng.choice([1, 2, None]), rng.choice("abcdefgh"), rng.randrange(1000)) for i in range(400)]
+    there = {}
+    for _, op, c, w, ts in log:
+        if op == "add":
+            there.setdefault((c, w), ts)
+        elif op == "remove":
+            there.pop((c, w), None)
+    rows = spark.createDataFrame(rng.sample(log, len(log)), "seq long, op string, collection_id long, work_id string, ts long")
+    assert {(r.collection_id, r.work_id): r.added_at for r in folds.fold_membership(rows).collect()} == there
+    assert folds.fold_membership(rows.limit(0)).collect() == []
+
+
 def test_membership_and_ids(spark):
     log = spark.createDataFrame([(1, "add", 1, "a", 10), (2, "add", 1, "a", 20), (3, "add", 1, "b", 30), (4, "remove", 1, "b", 40), (5, "remove", 1, "c", 50), (6, "add", 1, "b", 60)], "seq long, op string, collection_id long, work_id string, ts long")
     assert {(r.work_id, r.added_at) for r in folds.fold_membership(log).collect()} == {("a", 10), ("b", 60)}

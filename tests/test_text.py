@@ -66,6 +66,31 @@ def test_chunks(spark):
             tx.chunks(F.lit("x"), size, overlap)
 
 
+def test_plain_indexes_are_variants(spark):
+    """Plain indexes are rebuilt from VARIANT, all others by Python, and both as the plain function says."""
+    rng = random.Random(6)
+    words = ["déjà", "quo\"te", "back\\slash", "new\nline", "s", "[1]", "{", "a:b", "tab\t", "\u2003", "\U0001f600", "x"]
+    plain = [{w: sorted(rng.sample(range(k * 50, k * 50 + 50), rng.randrange(1, 5))) for k, w in enumerate(rng.sample(words, rng.randrange(1, len(words))))} for _ in range(60)]
+    plain = [json.dumps(x, ensure_ascii=False, indent=rng.choice([None, 1])) for x in plain] + ["{}", ' {"a" : [ ] } \n', json.dumps({f"w{i}": [2 * i, 2 * i + 1] for i in range(5000)})]
+    other = ['{"caf\\u00e9": [1], "b": [0]}', '{"a": [0], "\\u0061": [1]}', '{"a": [0], "b": [0]}', '{"a": [0], "a": [1]}', '{"a": [-1, 2]}', '{"a": [1.0], "b": [2]}', '{"a": 3, "b": [1]}', '{"a": [true], "b": [0]}', '{"a": [[1]], "b": [0]}', '{"a": {"b": [1]}}', '{"a": ["1"], "b": [0]}', '{"a": [null], "b": [4]}', "[1]", '"s"', "", " ", "{", '{"a": [0]} x', '{"a": [0]}}', '{"a": [0]} {"b": [1]}', '{"a": [01]}', '{"a": [0,]}', '{"a": [0] "b": [1]}', '{"a": [99999999999999999999], "b": [1]}', '{"\\ud83d\\ude00": [0]}', '{"a": [0]}\x0b', '{"a\nb": [0]}', "{'a': [0]}", '{"a": [0]}]']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*plain, *other, None])], "i int, t string")
+    got = {r.i: r for r in rows.select("i", "t", tx.reconstruct_abstract(F.col("t")).alias("a"), tx.plain_index(F.col("t")).alias("p")).collect()}
+    assert all(r.a == tx.rebuild_abstract(r.t) for r in got.values()), [r.t for r in got.values() if r.a != tx.rebuild_abstract(r.t)]
+    assert all(got[i].p for i in range(len(plain)))
+    assert not any(got[len(plain) + i].p for i, t in enumerate(other) if tx.rebuild_abstract(t)) and got[len(got) - 1].p is None
+
+
+def test_payloads_as_variants(spark):
+    texts = ['{"a": {"b": 3}, "c": "x"}', '{"a": {"b": "three"}, "c": null}', '{"c": [1]}', "[1, 2]", "nope", "", None, '{"a": 1, "a": 2}']
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "i int, payload string, more string")
+    got = tx.payload_fields(rows, {"b": ("$.a.b", "long"), "c": ("$.c", "string")})
+    assert got.columns == ["i", "more", "b", "c"]
+    assert {(r.i, r.b, r.c) for r in got.collect() if r.i < 2} == {(0, 3, "x"), (1, None, None)}
+    assert all((r.b, r.c) == (None, None) for r in got.collect() if r.i > 2)
+    opened = {(r.i, r.field, r.kind, r.json) for r in tx.payload_entries(rows, "i").collect()}
+    assert opened == {(0, "a", "OBJECT<b: BIGINT>", '{"b":3}'), (0, "c", "STRING", '"x"'), (1, "a", "OBJECT<b: STRING>", '{"b":"three"}'), (1, "c", "VOID", "null"), (2, "c", "ARRAY<BIGINT>", "[1]")}
+
+
 def test_batches_and_filters(spark):
     for n in range(12):
         for size in (1, 3, 5, 20):
