@@ -23,8 +23,6 @@ from citeloom.shipping import ship_package
 MAX_DEPTH = 100
 #: A slot with one and the same text on this many pages of differing main texts, and on this share of the host's, is template.
 CONSTANT_PAGES, CONSTANT_SHARE = 2, 0.9
-#: Differing main texts of a host or slot are counted by this many, those with the smallest hashes.
-SAMPLE = 128
 #: On a host of this many pages, a class, id or container on one page only, or on fewer than one in a hundred, is the page's own.
 MANY_PAGES = 2
 #: Articles are teasers beside a container that holds so many times their text.
@@ -177,20 +175,19 @@ def parse(html: str) -> list:
 
 
 # An item of a wrapper is [head, flags, pages, kids]. A slot has the head "#", and for kids [characters, characters in links,
-# hash of the text (None if it differs), hashes of main texts (None then)]; a repeated group has the head "(", and its
-# members for kids. Flags: 1 optional, 2 repeated. On each level a head occurs once, so a chain of heads names a slot.
+# hash of the text (None if it differs)]; a repeated group has the head "(", and its members for kids. Flags: 1 optional, 2 repeated. On each level a head occurs once, so a chain of heads names a slot.
 SLOT, GROUP, OPTIONAL, REPEATED = "#", "(", 1, 2
 
 
-def wrapper_of(tree: list, main_text: int | None = None) -> list:
-    """The wrapper of one page (of which ``main_text`` is the hash of the main text)."""
+def wrapper_of(tree: list) -> list:
+    """The wrapper of one page."""
     out: list = []
     where: dict[str, int] = {}
     for kid in tree[1]:
         if isinstance(kid, tuple):
-            item = [SLOT, 0, 1, [len(kid[0]), kid[1], _hash(kid[0]), [] if main_text is None else [main_text]]]
+            item = [SLOT, 0, 1, [len(kid[0]), kid[1], _hash(kid[0])]]
         else:
-            item = wrapper_of(kid, main_text)
+            item = wrapper_of(kid)
         at = where.get(item[0])
         if at is None:
             where[item[0]] = len(out)
@@ -223,9 +220,8 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
             members[k[0]] = merge(members[k[0]], k, same_page) if k[0] in members else [k[0], k[1] | OPTIONAL, *k[2:]]
         return [GROUP, REPEATED, pages, list(members.values())]
     if a[0] == SLOT:
-        (n, k, c, m), (o, j, d, t) = a[3], b[3]
-        same = c is not None and c == d
-        return [SLOT, a[1] | b[1], pages, [n + o, k + j, c if same else None, sorted({*m, *t})[:SAMPLE] if same else None]]
+        (n, k, c), (o, j, d) = a[3], b[3]
+        return [SLOT, a[1] | b[1], pages, [n + o, k + j, c if c == d else None]]
     return [a[0], a[1] | b[1], pages, align(a[3], b[3], same_page)]
 
 
@@ -271,7 +267,7 @@ def expression(item: list) -> str:
 
 
 def slots(item: list, path: str = "/", container: str = "/") -> Iterator[tuple]:
-    """(path, container, pages, flags, characters, in links, hash, main texts) of each slot, by the chain of heads that leads to it."""
+    """(path, container, pages, flags, characters, in links, hash) of each slot, by the chain of heads that leads to it."""
     for kid in item[3]:
         if kid[0] == SLOT:
             yield (path, container, kid[2], kid[1], *kid[3])
@@ -409,11 +405,11 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-_WRAPPED = "host string, pages long, main_texts array<long>, wrapper string"
+_WRAPPED = "host string, pages long, wrapper string"
 
 
 def _wrapped(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    types = [pa.string(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=[x.split(" ")[0] for x in _WRAPPED.split(", ")])
 
 
@@ -428,9 +424,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def rows() -> pa.RecordBatch:
-        return _wrapped([(h, n, sorted(m)[:SAMPLE], json.dumps(w, separators=(",", ":"))) for h, (n, m, w) in held.items()])
+        return _wrapped([(h, n, json.dumps(w, separators=(",", ":"))) for h, (n, w) in held.items()])
 
-    held: dict[str, tuple[int, set[int], list]] = {}
+    held: dict[str, tuple[int, list]] = {}
     items: Counter[str] = Counter()
     sets: dict[str | None, frozenset[str]] = {}
     for b in batches:
@@ -438,12 +434,10 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             in_main, page, tree = outline(html.as_py() or "", _known(sets, common, " "))
             if in_main or not page:
                 continue
-            main_text = _hash("\n".join(x.text for x in chosen(in_main, page)))
-            n, main_texts, w = held.get(host, (0, set(), None))
-            own = wrapper_of(tree, main_text)
+            n, w = held.get(host, (0, None))
+            own = wrapper_of(tree)
             w = own if w is None else merge(w, own)
-            main_texts.add(main_text)
-            held[host] = n + 1, main_texts if len(main_texts) <= 2 * SAMPLE else set(sorted(main_texts)[:SAMPLE]), w
+            held[host] = n + 1, w
             items[host] = _size(w)
             if items.total() > HELD_ITEMS:
                 yield rows()
@@ -453,23 +447,49 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    out, main_texts = None, set()
-    for w, m in sorted(zip(rows["wrapper"], map(tuple, rows["main_texts"]), strict=True)):
+    out = None
+    for w in sorted(rows["wrapper"]):
         out = json.loads(w) if out is None else merge(out, json.loads(w))
-        main_texts = set(sorted(main_texts.union(map(int, m)))[:SAMPLE])
-    return pd.DataFrame({"host": [key[0]], "pages": [int(rows["pages"].sum())], "main_texts": [sorted(main_texts)], "wrapper": [json.dumps(out, separators=(",", ":"))]})
+    return pd.DataFrame({"host": [key[0]], "pages": [int(rows["pages"].sum())], "wrapper": [json.dumps(out, separators=(",", ":"))]})
 
 
-_SLOTS = "host string, pages long, sample array<long>, path string, container string, n long, flags long, chars long, links long, said long, main_texts array<long>"
+_SLOTS = "host string, pages long, path string, container string, n long, flags long, chars long, links long, said long"
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5]
     for b in batches:
-        rows = [(host, pages, sample, *s) for host, pages, sample, w in zip(*[c.to_pylist() for c in b.columns], strict=True) for s in slots(json.loads(w))]
+        rows = [(host, pages, *s) for host, pages, w in zip(*[c.to_pylist() for c in b.columns], strict=True) for s in slots(json.loads(w))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=[x.split(" ")[0] for x in _SLOTS.split(", ")])
 
 
+_STANDING = "host string, main_text long, slot int"
+
+
+def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The main text of each page without article and main elements, by its hash, beside each of the listed slots that the page has, and beside -1."""
+
+    def rows() -> pa.RecordBatch:
+        columns = [[r[i] for r in held] for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)], names=["host", "main_text", "slot"])
+
+    held: set[tuple[str, int, int]] = set()
+    names: dict[str | None, frozenset[str]] = {}
+    for b in batches:
+        for host, html, common, constant in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            in_main, page, _ = outline(html.as_py() or "", _known(names, common, " "))
+            if in_main or not page:
+                continue
+            main_text = _hash("\n".join(x.text for x in chosen(in_main, page)))
+            here = {x.path for x in page}
+            held.update((host, main_text, i) for i, path in enumerate(constant.split("\n")) if path in here)
+            held.add((host, main_text, -1))
+            if len(held) > HELD:
+                yield rows()
+                held.clear()
+    yield rows()
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names: dict[str | None, frozenset[str]] = {}
     paths: dict[str | None, frozenset[str]] = {}
@@ -506,7 +526,7 @@ def _shared(n: Column) -> Column:
 
 
 def infer_wrappers(hosted: DataFrame, common: DataFrame) -> DataFrame:
-    """(host, pages, main_texts, wrapper) of the pages without article and main elements; the wrapper is JSON that ``expression`` shows.
+    """(host, pages, wrapper) of the pages without article and main elements; the wrapper is JSON that ``expression`` shows.
 
     Every task aligns its pages of a host, one after another; these partial
     wrappers are merged in SALTS groups and then together, so a hot host sends
@@ -522,21 +542,40 @@ def infer_wrappers(hosted: DataFrame, common: DataFrame) -> DataFrame:
     return once.groupBy("host").applyInPandas(_merged, _WRAPPED)
 
 
+def template_slots(hosted: DataFrame, common: DataFrame, constant: DataFrame) -> DataFrame:
+    """(host, path) of those ``constant`` slots (host, and paths in one string) that stand on nearly all of a host's differing main texts.
+
+    All pages of these hosts are counted: each differing main text once (by a
+    hash of 64 bits), and once for each slot that a page with this main text
+    has. What is shuffled are such pairs, of pages without article and main
+    elements on hosts that have constant slots.
+    """
+    listed = hosted.join(_broadcast(constant.join(common, "host", "left")), "host").select("host", "html", "common", "constant")
+    counts = materialize(listed.mapInArrow(_standing, _STANDING).distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n")), "standing")
+    differing = counts.where("slot < 0").select("host", F.col("n").alias("main_texts"))
+    most = F.col("n") >= F.greatest(F.col("main_texts") * CONSTANT_SHARE, F.lit(CONSTANT_PAGES))
+    paths = constant.select("host", F.posexplode(F.split("constant", "\n")).alias("slot", "path"))
+    return counts.where("slot >= 0").join(differing, "host").where(most).join(paths, ["host", "slot"]).select("host", "path")
+
+
 def layouts(hosted: DataFrame) -> DataFrame:
     """(host, common, textual, template): names that paths spell, containers with more text than links, template slots.
 
     They are read off the wrapper of the host. A slot is template if it has
     one text on pages of so many differing main texts that copies of a page
-    do not make it so, and only beside a larger slot that varies. What comes
-    out for a host is bounded, as is the wrapper.
+    do not make it so, and only beside a larger slot that varies; the
+    differing main texts of hosts with constant slots are counted in a second
+    look at all their pages. What comes out for a host is bounded, as is the
+    wrapper.
     """
     common = materialize(common_names(hosted), "common")
     found = materialize(infer_wrappers(hosted, common).mapInArrow(_slots, _SLOTS), "slots")
     largest = found.groupBy("host").agg(F.max_by(F.col("said").isNotNull(), F.struct("chars", "path")).alias("fixed"))
     by_container = found.groupBy("host", F.col("container").alias("path")).agg(F.max("pages").alias("pages"), F.max("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     textual = by_container.where("chars > 2 * links").where(_shared(F.col("n"))).select("host", F.col("path").alias("textual"), F.lit(None).cast("string").alias("template"))
-    most = F.size(F.array_intersect("main_texts", "sample")) >= F.greatest(F.size("sample") * CONSTANT_SHARE, F.lit(CONSTANT_PAGES))
-    template = found.where(F.col("said").isNotNull() & most).join(largest, "host").where("NOT fixed").select("host", F.lit(None).cast("string").alias("textual"), F.col("path").alias("template"))
+    constant = found.where(F.col("said").isNotNull() & (F.col("n") >= CONSTANT_PAGES)).join(largest, "host").where("NOT fixed")
+    constant = materialize(constant.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("path")), "\n").alias("constant")), "constant")
+    template = template_slots(hosted, common, constant).select("host", F.lit(None).cast("string").alias("textual"), F.col("path").alias("template"))
     chosen_paths = textual.union(template).groupBy("host").agg(*[F.array_join(F.array_sort(F.collect_set(c)), "\n").alias(c) for c in ("textual", "template")])
     return common.join(chosen_paths, "host", "full_outer")
 

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.llm.wrappers import OPTIONAL, REPEATED, SLOT, _hosted, common_names, expression, extract, infer_wrappers, layouts, merge, parse, slots, wrapper_of
+from citeloom.llm.wrappers import OPTIONAL, REPEATED, SLOT, _hash, _hosted, common_names, expression, extract, infer_wrappers, layouts, merge, parse, slots, wrapper_of
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -278,3 +278,19 @@ def test_marks_count_at_any_depth(spark):
 def test_formulas_and_bylines_stay(spark):
     html = "<article><address>Written in Lima</address><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='TeX'>x=1</annotation></math> be positive.</p></article><address>Imprint</address>"
     assert _texts(spark, [html])[0] == "Written in Lima\nLet x=1 be positive."
+
+
+def test_shares_of_a_host_are_counted_on_all_its_pages(spark):
+    """A share of the main texts with the smallest hashes says nothing of all, whichever pages lack the line."""
+    slot = "<div class=app><p>Read on in the app</p></div>"
+    texts = sorted((f"text {i} " + "of it " * 9 + "end" for i in range(300)), key=_hash)
+    page = lambda t, has: f"<div class=text><p>{t}</p></div>{slot if has else ''}"
+    without = {"most": set(texts[:20]), "some": set(texts[-45:]), "edge": set(texts[:30]), "below": set(texts[-31:])}
+    rows = [(1000 * k + i, f"http://{h}.example/{i}", page(t, t not in out)) for k, (h, out) in enumerate(without.items()) for i, t in enumerate(texts)]
+    rows += [(5000 + i, "http://most.example/", page(texts[0], False)) for i in range(200)]  # copies count once
+    rows += [(6000 + i, "http://some.example/", page(texts[0], True)) for i in range(500)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()}
+    for k, (h, out) in enumerate(without.items()):
+        template = h in ("most", "edge")
+        assert all(got[1000 * k + i] == (t if template or t in out else f"{t}\nRead on in the app") for i, t in enumerate(texts)), h
+    assert got[5000] == texts[0] and got[6000] == f"{texts[0]}\nRead on in the app"
