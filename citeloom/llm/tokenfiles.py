@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -29,6 +30,13 @@ SAMPLE = 256
 KNOWN_WORDS, KNOWN_LENGTH = 1_000_000, 64
 #: Texts go to the tokenizer in pieces of about this many characters, files are read in pieces of about this many ids.
 _PIECE, _READ = 1 << 18, 1 << 20
+#: Rows that are encoded at once, and the bytes of them that are taken apart into words at once.
+_ROWS, _TEXT_BYTES = 1000, 4 << 20
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
+#: As it stands in a tokenizers file: letters are parts of words, and so is what is neither letter, digit nor white space.
+_RUNS = r'|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"'
+#: Such marks behind letters are a part of their own (but not the apostrophe, which may go with letters).
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 _HEAD = struct.Struct("<QqBxxxxxxxQ")  # values, offset, low bits, bits of the upper part
 
@@ -129,13 +137,65 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _cut_at(data: np.ndarray, ends: np.ndarray, start: int) -> int:
+    """Where a piece of the texts in ``data`` (they end at ``ends``) that begins at ``start`` may end: about _TEXT_BYTES on, and not inside a word."""
+    size = _TEXT_BYTES
+    while start + size < len(data):
+        stop = start + size
+        blanks = np.flatnonzero(_BLANK[data[start:stop]])
+        edge = int(ends[np.searchsorted(ends, stop, side="right") - 1]) if ends[0] <= stop else 0
+        if (cut := max(start + int(blanks[-1]) + 1 if len(blanks) else 0, edge)) > start:
+            return cut
+        size *= 2
+    return len(data)
+
+
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of UTF-8 text, and where they begin; ``edges`` (inside of it) divide words as ASCII white space does."""
+    blank = _BLANK[data]
+    first, last = ~blank, ~blank
+    first[1:] &= blank[:-1]
+    last[:-1] &= blank[1:]
+    first[edges] = ~blank[edges]
+    last[edges - 1] = ~blank[edges - 1]
+    begins = np.flatnonzero(first)
+    offsets = np.zeros(len(begins) + 1, np.int32)
+    np.cumsum(np.flatnonzero(last) + 1 - begins, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[~blank])), begins
+
+
+def _pieces(words: list[str], size: int) -> Iterator[list[str]]:
+    """``words`` in lists of about ``size`` characters."""
+    start = 0
+    while start < len(words):
+        stop, n = start, 0
+        while stop < len(words) and (n < size or stop == start):
+            n += len(words[stop]) + 1
+            stop += 1
+        yield words[start:stop]
+        start = stop
+
+
+def _parts(word: str) -> int:
+    """1 for letters, 2 for letters (of scripts that are in every version of Unicode) with ASCII marks behind them, else 0."""
+    if word.isalpha():
+        return 1
+    letters = word.rstrip(_MARKS)
+    return 2 if letters.isalpha() and max(letters) < "\u0530" else 0
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library; with ``words_apart``, each word once.
 
     Vocabularies that drop white space and never join across it give a text
     the ids of its words in turn. Words are divided at ASCII white space only;
-    what else a tokenizer divides at lies within them. Words not yet known are
-    encoded together, and their ids told apart by their offsets.
+    what else a tokenizer divides at lies within them. Texts become numbers of
+    words, whose ids are gathered. Words not yet known are encoded together, and
+    their ids told apart by their offsets. Where the tokenizer divides words
+    into runs of letters and of marks, and ids say that they end a run, those
+    of letters, or of letters with marks behind them, are told apart by
+    counting such ids instead, which costs less; if there are not as many as
+    expected, by offsets again.
     """
 
     def __init__(self, config: str, end_id: int, words_apart: bool) -> None:
@@ -144,41 +204,93 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(config)
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id)
-        self.end = np.array([end_id], self.dtype).tobytes()
+        self.end = np.array([end_id], self.dtype)
         self.words_apart = words_apart
+        self.ending = self._endings(config) if words_apart else None
         self.known: dict[str, bytes] = {}
 
+    def _endings(self, config: str) -> np.ndarray | None:
+        """Whether an id ends a run of letters or marks, by id; None if the tokenizer has no such runs or its ids don't say."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        suffix, vocabulary = json.loads(config)["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab(with_added_tokens=False)
+        if _RUNS not in config or not suffix or not all(c + suffix in vocabulary for c in ByteLevel.alphabet()):
+            return None
+        ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        ending[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return ending
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        start = 0
-        while start < len(words):
-            stop, size = start, 0
-            while stop < len(words) and (size < _PIECE or stop == start):
-                size += len(words[stop]) + 1
-                stop += 1
-            some = words[start:stop]
+
+        def add(some: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+            data, at = ids.astype(self.dtype).tobytes(), (cuts * self.dtype.itemsize).tolist()
+            out.update((w, data[a:b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
+
+        counted = {w: n for w in words if (n := _parts(w))} if self.ending is not None else {}
+        others = [w for w in words if w not in counted]
+        for some in _pieces(list(counted), max(1, _PIECE >> 4)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            last = np.cumsum([counted[w] for w in some])
+            ends = np.flatnonzero(self.ending[ids]) + 1 if ids.max(initial=0) < len(self.ending) else ids[:0]
+            if len(ends) == last[-1]:
+                add(some, ids, np.append(0, ends[last - 1]))
+            else:
+                others += some
+        for some in _pieces(others, _PIECE):
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             begins = np.cumsum([0, *[len(w) + 1 for w in some]])
-            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), begins) * self.dtype.itemsize
-            ids = np.array(found.ids, dtype=self.dtype).tobytes()
-            out.update((w, ids[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            start = stop
+            add(some, np.array(found.ids, dtype=np.int64), np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), begins))
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id, little-endian."""
-        if not self.words_apart:
-            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype=self.dtype).tobytes() + self.end for t in texts]
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        self.known[""] = b""
-        new = {w for words in split for w in words if w not in self.known}
-        learnt = self._learn(list(new))
-        long = {w: v for w, v in learnt.items() if len(w) > KNOWN_LENGTH}
+        ids = list(map(self.known.get, words))
+        learnt = self._learn([w for w, v in zip(words, ids, strict=True) if v is None])
         self.known.update((w, v) for w, v in learnt.items() if len(w) <= KNOWN_LENGTH)
-        ids = (self.known | long if long else self.known).__getitem__
-        return [b"".join(map(ids, words)) + self.end for words in split]
+        return [learnt[w] if v is None else v for w, v in zip(words, ids, strict=True)]
+
+    def flat(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of the texts (strings) one after another, the end id after each, in pieces; and where in a piece texts end."""
+        if not self.words_apart:
+            for t in texts:
+                ids = self.tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids
+                yield np.append(np.array(ids, self.dtype), self.end), np.array([len(ids) + 1])
+            return
+        if not len(texts):
+            return
+        texts = texts.cast(pa.large_string()).fill_null("")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        ends = bounds[1:] - bounds[0]
+        start = done = 0
+        while done < len(ends):
+            stop = _cut_at(data, ends, start)
+            ended = ends[done : done + int(np.searchsorted(ends[done:], stop, side="right"))] - start
+            words, begins = _words(data[start:stop], ended[(ended > 0) & (ended < stop - start)])
+            found = words.dictionary_encode()
+            ids = self._ids(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+            known = np.append(np.frombuffer(b"".join(ids), self.dtype), self.end)
+            lengths = np.array([*map(len, ids), self.dtype.itemsize]) // self.dtype.itemsize
+            places = np.searchsorted(begins, ended)
+            codes = np.insert(found.indices.to_numpy(), places, len(ids))  # the end id is a word behind each text
+            n = lengths[codes]
+            upto = np.cumsum(n)
+            at = np.repeat((np.cumsum(lengths) - lengths)[codes] - (upto - n), n)
+            at += np.arange(len(at))
+            yield known[at], upto[places + np.arange(len(places))]
+            start, done = stop, done + len(ended)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text with the end id, little-endian."""
+        ids, ends, total = [], [], 0
+        for piece, stops in self.flat(pa.array(texts, pa.large_string())):
+            ids.append(piece)
+            ends += (stops + total).tolist()
+            total += len(piece)
+        joined = np.concatenate(ids) if ids else self.end
+        return [joined[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def id_type(vocabulary: int, end_id: int) -> np.dtype:
@@ -208,14 +320,14 @@ class _ShardWriter:
         self.docs: list[np.ndarray] = []
         self.ends: list[np.ndarray] = [np.zeros(1, np.int64)]
 
-    def add(self, docs: pa.Array, ids: list[bytes], width: int) -> None:
+    def add(self, docs: pa.Array, pieces: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
         self.nulls += docs.null_count
         self.docs.append(docs.drop_null().to_numpy())
-        ends = np.cumsum([len(x) // width for x in ids]) + self.total
-        self.ends.append(ends)
-        self.total = int(ends[-1])
-        self.bytes = self.total * width
-        self.out.writelines(ids)
+        for ids, ends in pieces:
+            self.ends.append(ends + self.total)
+            self.total += len(ids)
+            self.bytes += ids.nbytes
+            self.out.write(ids.tobytes())
 
     def close(self) -> pa.RecordBatch:
         self.out.close()
@@ -231,10 +343,10 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, shard_bytes: i
     encode = _encoder(*encoder)
     writer, number = None, 0
     for b in batches:
-        for at in range(0, b.num_rows, 100):
-            part = b.slice(at, 100)
+        for at in range(0, b.num_rows, _ROWS):
+            part = b.slice(at, _ROWS)
             writer = writer or _ShardWriter(folder, number)
-            writer.add(part.column(0), encode(part.column(1).to_pylist()), encode.dtype.itemsize)
+            writer.add(part.column(0), encode.flat(part.column(1)))
             if writer.bytes >= shard_bytes:
                 yield writer.close()
                 writer, number = None, number + 1

@@ -114,3 +114,52 @@ def test_whole_texts_without_words_apart(spark, plain, tmp_path):
 def test_query_equals_brute_force(spark, sf, plain, docs):
     got = [tuple(r) for r in op13_token_files(spark, sf).orderBy("start").collect()]
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], plain)
+
+
+class Counted:
+    """A tokenizer whose calls are counted."""
+
+    def __init__(self, inner):
+        self.inner, self.calls = inner, []
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.inner, name)
+
+
+def test_words_of_letters_need_no_offsets(plain, docs):
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        encoder = WordEncoder(f.read(), 1, True)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    text = "Plain words, of letters. Même là (not) этот; 日本語 ΣΑΣ ***"
+    fit = " ".join(w for w in text.split() if w not in ("(not)", "***"))
+    assert np.frombuffer(encoder([fit])[0], "<u2").tolist() == plain(fit)
+    assert "encode" not in encoder.tokenizer.calls
+    assert np.frombuffer(encoder([text])[0], "<u2").tolist() == plain(text) and "encode" in encoder.tokenizer.calls
+    words = list({w for r in docs.select("text").collect() for w in (r.text or "").split()})
+    assert sum(map(bool, map(K._parts, words))) > 0.9 * len(words)
+
+
+@pytest.mark.parametrize("ending", [None, False, True])
+def test_without_ids_that_end_runs(plain, ending):
+    texts = [*ODD, "İ, İİ aͅ. é, ｱ! x²; ªº a<|endoftext|> <|endoftext|>, foo</w> bar</w>, 's 'll, can't."]
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        encoder = WordEncoder(f.read(), 1, True)
+    encoder.ending = None if ending is None else np.full_like(encoder.ending, ending)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder(texts)] == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_texts_are_taken_apart_in_pieces(plain, monkeypatch, size):
+    monkeypatch.setattr(K, "_TEXT_BYTES", size)
+    import pyarrow as pa
+
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        encoder = WordEncoder(f.read(), 1, True)
+    for texts in ([], [None], ["", None, " \n "], ["", *ODD, "y" * 200, "", " a", "b ", "c", "d", None]):
+        for array in (pa.array(texts, pa.string()), pa.array(["first", *texts, "last"], pa.large_string()).slice(1, len(texts))):
+            pieces = list(encoder.flat(array))
+            before = np.cumsum([0, *[len(ids) for ids, _ in pieces]])
+            ends = [0, *[int(e + b) for (_, ends), b in zip(pieces, before, strict=False) for e in ends]]
+            ids = [i for ids, _ in pieces for i in ids.tolist()]
+            assert [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)] == [plain(t) for t in texts] and ends[-1] == len(ids)
