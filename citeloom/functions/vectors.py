@@ -8,17 +8,37 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.shipping import ship_package
 
 BATCH = 32
 
 
+@F.arrow_udf(T.StringType())
+def _literal(v: pa.Array) -> pa.Array:
+    rows = ([x for x in row if x is not None] if row is not None else None for row in v.to_pylist())
+    return pa.array([None if row is None else "[" + ",".join(["%.8f"] * len(row)) % tuple(row) + "]" for row in rows], pa.string())
+
+
 def vector_literal(v: Column) -> Column:
-    """``[x,y]`` with eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v.cast("array<double>"), lambda x: F.format_string("%.8f", x)), ","), F.lit("]"))
+    """``[x,y]`` with eight decimals, nulls left out; null for no vector.
+
+    The number itself is rounded, an exact half to the even digit, as in C and
+    Python: the engine's formatter rounds the shortest decimal form half up.
+    """
+    ship_package(SparkSession.active())
+    return _literal(v.cast("array<double>"))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """``x`` times a power of ten to the nearest whole number, halves away from 0, and back; too large a number stays."""
+    scale = F.lit(10.0**places)
+    up = F.round(x * scale)
+    return F.when(F.abs(up) < F.lit(float("inf")), up / scale).otherwise(x)
 
 
 def from_literal(s: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
-from citeloom.functions.vectors import cosine, embed, from_literal, hashing_embedder, vector_literal
+from citeloom.functions.vectors import cosine, embed, from_literal, hashing_embedder, rounded, vector_literal
 
 
 def one(spark, column, **values):
@@ -138,3 +138,18 @@ def test_explanations_and_replies(spark):
     rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(replies)] + [(9, None), (10, "nope")], "i int, r string")
     got = {r.i: r.a for r in rows.select("i", tx.agent_reply(F.col("r")).alias("a")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(replies)} | {9: None, 10: None}
+
+
+def test_literals_are_those_of_c(spark):
+    """Halves that doubles hold exactly go to the even digit; what is no number, and nulls, as in C and SQL."""
+    values = [0.103515625, -0.103515625, 0.00146484375, 2.5e-9, -1e-10, -0.0, 1e20, float("nan"), float("inf"), 0.1]
+    rows = spark.createDataFrame([(values,), ([],), ([None, 0.5, None],), (None,)], "v array<double>")
+    got = [r.t for r in rows.select(vector_literal(F.col("v")).alias("t")).collect()]
+    assert got == ["[" + ",".join(f"{x:.8f}" for x in values) + "]", "[]", "[0.50000000]", None]
+
+
+def test_numbers_are_rounded_as_in_sql(spark):
+    """The scaled number is rounded, halves away from 0: 1.0108125 times a million is below the half."""
+    cases = {1.0108125: 1.010812, -1.0108125: -1.010812, 1.0000005: 1.000001, -0.4500005: -0.450001, 0.4236245: 0.423625, 1e305: 1e305, 0.0: 0.0}
+    rows = spark.createDataFrame([(k,) for k in cases], "x double").select("x", rounded(F.col("x"), 6).alias("r")).collect()
+    assert {r.x: r.r for r in rows} == cases
