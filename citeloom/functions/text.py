@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from citeloom.ranks import global_rank
 from citeloom.shipping import ship_package
 
 _EDGES = r"(?U)^\s+|\s+$"
+_SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
 def short_id(col: Column | str) -> Column:
@@ -62,6 +64,27 @@ def reconstruct_abstract(index: Column | str) -> Column:
     return _rebuild(index)
 
 
+def inverted_index(text: str | None) -> str | None:
+    """The inverted index {word: [positions]} of a text, as JSON; words are divided by the ASCII white space of SQL's ``\\s``. None for no text."""
+    if text is None:
+        return None
+    places: dict[str, list[int]] = {}
+    for position, word in enumerate(w for w in _SPACES.split(text) if w):
+        places.setdefault(word, []).append(position)
+    return json.dumps(places, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def _invert(text: pd.Series) -> pd.Series:
+    return text.map(inverted_index, na_action="ignore")
+
+
+def invert_abstract(text: Column | str) -> Column:
+    """``inverted_index`` by Arrow batch: each row by itself, so that texts with one key stay apart."""
+    ship_package(SparkSession.active())
+    return _invert(text)
+
+
 def payload_variant(payload: Column | str) -> Column:
     """A JSON payload as VARIANT; null where it is no JSON."""
     return F.try_parse_json(payload)

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from citeloom.ranks import broadcast_if_small, global_rank
 from citeloom.scratch import materialize
+from citeloom.shipping import bounded_batches
 
 __all__ = ["bounded_batches", "broadcast_if_small", "global_rank", "let", "materialize", "table"]
 
-#: An Arrow batch that goes to Python holds about this many bytes and this many rows at most.
-ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = 8 << 20, 2000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,12 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once: lambdas would compute what they mention anew for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session, for tables with very long texts; smaller bounds that are set stay."""
-    for key, most in (("maxBytesPerBatch", ARROW_BATCH_BYTES), ("maxRecordsPerBatch", ARROW_BATCH_ROWS)):
-        name = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(name).rstrip("b"))
-        if now <= 0 or now > most:
-            spark.conf.set(name, str(most))

@@ -1,4 +1,4 @@
-"""Makes this package importable on executors that do not have it installed."""
+"""Makes this package importable on executors that do not have it installed, and bounds what they hand to Python."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: An Arrow batch that goes to Python holds about this many bytes and this many rows at most.
+ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = 8 << 20, 2000
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -31,3 +33,12 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(path, os.path.join(name, os.path.relpath(path, top)))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, for tables with very long texts; smaller bounds that are set stay."""
+    for key, most in (("maxBytesPerBatch", ARROW_BATCH_BYTES), ("maxRecordsPerBatch", ARROW_BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))

@@ -1,12 +1,14 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as tx
 from citeloom.functions.vectors import cosine, embed, from_literal, hashing_embedder, rounded, vector_literal
+from citeloom.plans.queries import ORACLES, QUERIES
 
 
 def one(spark, column, **values):
@@ -153,3 +155,17 @@ def test_numbers_are_rounded_as_in_sql(spark):
     cases = {1.0108125: 1.010812, -1.0108125: -1.010812, 1.0000005: 1.000001, -0.4500005: -0.450001, 0.4236245: 0.423625, 1e305: 1e305, 0.0: 0.0}
     rows = spark.createDataFrame([(k,) for k in cases], "x double").select("x", rounded(F.col("x"), 6).alias("r")).collect()
     assert {r.x: r.r for r in rows} == cases
+
+
+ODD_TEXTS = ["two  words ", None, "", " \n ", "\x0btab\x0b", "\x85next", "a\x0bb\tc", " edge　", " line", "x \x1c", "again and again", "| |"]
+
+
+def test_rebuilt_texts_of_odd_rows_equal_sql(spark, tmp_path):
+    """Null and blank texts have a row, ends stay as SQL has them, and rows with one id are not thrown together."""
+    rows = [(i // 2, t) for i, t in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["reconstruct_abstract"](spark, f"file://{tmp_path}").collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(db.execute(ORACLES["reconstruct_abstract"]).fetchall(), key=str)
+    assert len(got) == len(ODD_TEXTS)
