@@ -126,8 +126,14 @@ def _scorer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                 for q, line in zip(ids, score, strict=True):
                     own = top.setdefault(q, {})
                     floor = min(own.values()) if len(own) >= k else -2.0
-                    for j in np.flatnonzero(line >= floor - 1e-6):
+                    hits, seen = np.flatnonzero(line >= floor - 1e-6), set()
+                    for j in hits[np.argsort(-line[hits])].tolist():
+                        if len(seen) >= k and line[j] < floor - 2e-6:
+                            break
                         own[works[j]] = max(own.get(works[j], -2.0), round(float(line[j]), 6))
+                        if len(seen) < k:
+                            seen.add(works[j])
+                            floor = max(floor, float(line[j])) if len(seen) == k else floor
                     if len(own) > k:
                         top[q] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))[:k])  # null ids first, as Spark sorts
                 if len(top) > HELD_QUERIES:
