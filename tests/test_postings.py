@@ -1,11 +1,13 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from citeloom.operators import postings
 from citeloom.operators.postings import build_postings, find_topics
 from citeloom.operators.snowball import match_topics
+from citeloom.scratch import scratch_root
 
 WORDS = ["graph", "network", "ünï", "data", "the", "of", "x1", "日本", "rare"]
 
@@ -76,3 +78,22 @@ def test_empty(spark, tmp_path):
     build_postings(spark.createDataFrame([], "work_id string, title string, narrative_abstract string, cited_by_count long"), f"file://{tmp_path}/e")
     table = spark.createDataFrame([("a",)], "topic string")
     assert find_topics(spark, f"file://{tmp_path}/e", table).collect() == [] and find_topics(spark, f"file://{tmp_path}/e", table, 3).collect() == []
+
+
+def test_long_lists_are_placed_in_slices(spark, corpus, monkeypatch, tmp_path):
+    """With slices of a few works most lists are long; places and results are as in one piece."""
+    df, whole, _ = corpus
+    monkeypatch.setattr(postings, "SLICE_WORKS", 30)
+    build_postings(df, f"file://{tmp_path}/index")
+    columns = ["term", "work_id", "cited_by_count", "place", "bucket"]
+    sliced, one = (sorted(map(tuple, spark.read.parquet(f"{p}/lists").select(*columns).collect()), key=repr) for p in (f"file://{tmp_path}/index", whole))
+    assert sliced == one
+
+
+def test_postings_are_shuffled_and_written_once(spark, corpus, tmp_path):
+    """No copy of the postings lies beside the lists: scratch tables hold less than a tenth of their rows."""
+    root = Path(scratch_root(spark).removeprefix("file://"))
+    before = set(root.glob("*"))
+    build_postings(corpus[0], f"file://{tmp_path}/index")
+    lists = spark.read.parquet(f"file://{tmp_path}/index/lists").count()
+    assert sum(spark.read.parquet(f"file://{p}").count() for p in set(root.glob("*")) - before) < lists / 10
