@@ -171,12 +171,16 @@ def send_batch(df: DataFrame, path: str, batch: int, rows: int = SEND_ROWS) -> N
 
 
 def send_stream(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Writes a stream's micro-batches under their own numbers, and returns when all input is in."""
-    spark = df.sparkSession
-    ship_package(spark)
-    spark.dataSource.register(BatchSink)
-    query = df.writeStream.format(BatchSink.name()).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Writes a stream's micro-batches under their own numbers, and returns when all input is in.
+
+    In update mode, which Spark has for its own aggregations but not for a
+    streaming writer in Python, so each micro-batch is a batch write.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
+        send_batch(batch, path, number)
+
+    df.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:

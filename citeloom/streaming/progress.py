@@ -1,4 +1,4 @@
-"""Reading progress as a stateful stream: one value of state for each (user, work)."""
+"""Reading progress as a stateful stream: one value of state for each (user, work), folded by the engine, or in Python where keys expire."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from citeloom.operators.folds import fold_progress
 from citeloom.schemas import PROGRESS_STATES
 from citeloom.shipping import ship_package
 
@@ -85,7 +86,7 @@ class ProgressProcessor(StatefulProcessor):
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State with timers needs Spark's RocksDB store; a provider that the session names is kept."""
+    """State with timers needs Spark's RocksDB store, and a large state a store outside the heap; a provider that the session names is kept."""
     if "HDFSBacked" in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
@@ -96,7 +97,8 @@ def stream_progress(log: DataFrame, idle: int | None = None) -> DataFrame:
     A row is the state after all events so far: user_id, work_id, status,
     started_at, completed_at, updated_at and ``expired``; the last row of a key
     is its progress, and equals ``fold_progress`` of the whole log, however the
-    log is cut into batches. With ``idle`` (milliseconds of processing time) a
+    log is cut into batches. Without ``idle`` the engine folds the stream, as it
+    does a table, and keeps the state. With ``idle`` (milliseconds of processing time) a
     key without events is emitted once more, as expired, and its state goes;
     such a stream waits for its timers, so it needs a processing-time trigger
     and never ends by itself.
@@ -104,9 +106,11 @@ def stream_progress(log: DataFrame, idle: int | None = None) -> DataFrame:
     spark = log.sparkSession
     ship_package(spark)
     use_rocksdb(spark)
+    if idle is None:
+        return fold_progress(log).withColumn("expired", F.lit(False))
     events = log.select("user_id", "work_id", F.col("seq").cast("long").alias("seq"), "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     out = events.groupBy("user_id", "work_id").transformWithStateInPandas(
-        statefulProcessor=ProgressProcessor(idle), outputStructType=_OUT, outputMode="Update", timeMode="None" if idle is None else "ProcessingTime"
+        statefulProcessor=ProgressProcessor(idle), outputStructType=_OUT, outputMode="Update", timeMode="ProcessingTime"
     )
     times = [F.timestamp_micros(c).alias(f"{c}_at") for c in ("started", "completed", "updated")]
     return out.select("user_id", "work_id", "status", *times, "expired")

@@ -61,3 +61,11 @@ def test_order_and_repeats_do_not_matter():
         rows = log * 2
         random.Random(seed).shuffle(rows)
         assert advance(advance(_EMPTY, iter(rows[:4])), iter(rows[4:])) == want
+
+
+def test_no_python_runs_for_each_key(spark, tmp_path):
+    """Without timers the engine folds the stream; with them each key has its own state and timers in Python."""
+    spark.createDataFrame([], LOG).write.parquet(f"{tmp_path}/in")
+    log = spark.readStream.schema(LOG).parquet(f"{tmp_path}/in")
+    plans = [stream_progress(log, idle)._jdf.queryExecution().analyzed().toString() for idle in (None, 300)]
+    assert ["TransformWithState" in p for p in plans] == [False, True]
