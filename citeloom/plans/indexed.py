@@ -55,16 +55,19 @@ def sink_papers(spark, sf):
 
 # Record service -----------------------------------------------------------
 
+#: Bytes of a row group of the service's works, which are in the order of their ids.
+SERVICE_GROUP = 1 << 20
 _RECORD = "id string, title string, cited_by_count long, referenced_works array<string>"
 
 
-def _service(spark, sf):
-    """(works, connect): the corpus behind a record service, listed under its topics."""
+def _service(spark, sf, citing=False):
+    """(works, connect): the corpus behind a record service, listed under its topics; with ``citing`` also who cites whom."""
     b = fx.base(spark, sf)
     path = scratch_path(spark, "service")
     works = b.select(F.col("work_id").alias("id"), "title", "cited_by_count", "referenced_works", F.col("seed_topic").alias("topic"))
-    works.write.parquet(f"{path}/works")
-    medallion.silver_citation_edges(b).select(F.col("citing_work_id").alias("citing"), F.col("cited_work_id").alias("cited")).distinct().write.parquet(f"{path}/edges")
+    works.repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.block.size", SERVICE_GROUP).parquet(f"{path}/works")
+    if citing:
+        medallion.silver_citation_edges(b).select(F.col("citing_work_id").alias("citing"), F.col("cited_work_id").alias("cited")).distinct().write.parquet(f"{path}/edges")
     return b, lambda: service.FileService(path)
 
 
@@ -87,7 +90,7 @@ def service_seeds(spark, sf):
 @query(f"WITH {snowball_sql(5)} SELECT DISTINCT topic, citing AS work_id FROM edges JOIN seeds ON cited = work_id WHERE citing IN (SELECT work_id FROM works)")
 def service_citing(spark, sf):
     """What cites the first five works of each topic, asked of the service."""
-    b, connect = _service(spark, sf)
+    b, connect = _service(spark, sf, citing=True)
     seeds = _listed(spark, connect, 5, _topics(b)).select("topic", "id")
     citing = service.look_up(seeds.select("id"), connect, _RECORD, "cites").select("cites", F.col("id").alias("work_id"))
     return seeds.join(citing, seeds["id"] == citing["cites"]).select("topic", "work_id").distinct()

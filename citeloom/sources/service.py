@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import time
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
@@ -32,6 +33,8 @@ from citeloom.shipping import ship_package
 A = TypeVar("A")
 #: How a record is reached: by its id, by the topic it is listed under, or by a work that it cites.
 WAYS = ("id", "cites", "topic")
+#: Row groups that a connection to files keeps.
+HELD_GROUPS = 4
 
 
 class Service(Protocol):
@@ -184,8 +187,10 @@ def works_service(connect: Callable[[], Service], schema: str, name: str = "cite
 def look_up(ids: DataFrame, connect: Callable[[], Service], schema: str, way: str = "id", tries: int = RETRIES, wait: float = RETRY_SECONDS) -> DataFrame:
     """The records of a table of ``ids`` (id), or with ``way`` "cites" the records that cite them, each with ``cites``.
 
-    For more ids than a filter holds: the distinct ids are dealt to the tasks,
-    which call for CALL_IDS at a time. Null ids are not asked for.
+    For more ids than a filter holds: the distinct ids are dealt to the tasks
+    by ranges, which call for CALL_IDS neighbours at a time, so that a service
+    that has its records in order looks in few places for a call. Null ids are
+    not asked for.
     """
     ship_package(ids.sparkSession)
     fields = StructType.fromDDL(schema)
@@ -201,23 +206,57 @@ def look_up(ids: DataFrame, connect: Callable[[], Service], schema: str, way: st
                     yield pd.DataFrame(some, columns=out.fieldNames(), dtype=object)
 
     once = ids.select(F.col("id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
-    return once.mapInPandas(run, out)
+    return once.repartitionByRange("id").sortWithinPartitions("id").mapInPandas(run, out)
 
 
 class FileService:
     """A service over parquet folders: ``works`` (id, topic, cited_by_count, ...) and ``edges`` (citing, cited).
 
-    Listings go by citations, most first, then by id.
+    Listings go by citations, most first, then by id. Ids are looked up in the
+    row groups whose bounds hold any of them, of which the last HELD_GROUPS
+    stay, so works in the order of their ids are read once by calls in that
+    order; in another order each call reads all.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path.removeprefix("file://")
+        self._bounds: list[tuple] | None = None
+        self._held: dict[tuple, tuple] = {}
+
+    def _row_groups(self) -> list[tuple]:
+        """(fragment, number, least id, greatest id) of each row group of the works; the bounds are None where the file has none."""
+        if self._bounds is None:
+            self._bounds = []
+            for fragment in dataset.dataset(f"{self.path}/works", format="parquet").get_fragments():
+                fragment.ensure_complete_metadata()
+                for group in fragment.row_groups:
+                    known = (group.statistics or {}).get("id", {})
+                    self._bounds.append((fragment, group.id, known.get("min"), known.get("max")))
+        return self._bounds
+
+    def _group(self, fragment: dataset.ParquetFileFragment, number: int) -> tuple:
+        """(rows, place of each id) of one row group."""
+        key = (fragment.path, number)
+        if key not in self._held:
+            rows = fragment.subset(row_group_ids=[number]).to_table()
+            while len(self._held) >= HELD_GROUPS:
+                self._held.pop(next(iter(self._held)))
+            self._held[key] = (rows, {x: i for i, x in enumerate(rows["id"].to_pylist())})
+        return self._held[key]
 
     def _works(self, condition: pc.Expression) -> list[dict]:
         return dataset.dataset(f"{self.path}/works", format="parquet").to_table(filter=condition).to_pylist()
 
     def by_ids(self, ids: list[str]) -> list[dict]:
-        return list({r["id"]: r for r in self._works(pc.field("id").isin(ids))}.values())
+        asked = sorted({i for i in ids if i is not None})
+        found: dict[str, dict] = {}
+        for fragment, number, least, greatest in self._row_groups():
+            at = 0 if least is None else bisect_left(asked, least)
+            if at < len(asked) and (greatest is None or asked[at] <= greatest):
+                rows, places = self._group(fragment, number)
+                if hits := [places[i] for i in asked[at:] if i in places]:
+                    found |= {r["id"]: r for r in rows.take(hits).to_pylist()}
+        return list(found.values())
 
     def count(self, topic: str) -> int:
         return dataset.dataset(f"{self.path}/works", format="parquet").count_rows(filter=pc.field("topic") == topic)

@@ -128,3 +128,26 @@ def test_streams_follow_listings(spark, store, source, tmp_path):
     assert ids(spark.read.parquet(f"{tmp_path}/out")) == ids(want)
     with pytest.raises(Exception, match="topics"):
         spark.readStream.format(source).load().writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c2").start().awaitTermination()
+
+
+def test_ids_in_order_are_read_once(spark, store, tmp_path, monkeypatch):
+    """Row groups of works in the order of their ids are opened once each, however many calls ask for them; unknown ids open none twice."""
+    import pyarrow.parquet as pq
+
+    rows = sorted(store[1])
+    (tmp_path / "works").mkdir()
+    table = spark.read.parquet(f"{store[0]}/works").orderBy("id").toArrow()
+    pq.write_table(table, tmp_path / "works/a.parquet", row_group_size=50)
+    opened = []
+
+    class Counting(FileService):
+        def _group(self, fragment, number):
+            if (fragment.path, number) not in self._held:
+                opened.append(number)
+            return super()._group(fragment, number)
+
+    service = Counting(str(tmp_path))
+    asked = sorted([w[0] for w in rows] + [f"W{i}x" for i in range(500)])
+    got = [r for i in range(0, len(asked), 7) for r in service.by_ids(asked[i : i + 7])]
+    assert [(r["id"], r["title"], r["referenced_works"]) for r in got] == [(w[0], w[1], w[4]) for w in rows]
+    assert sorted(opened) == list(range(10))
